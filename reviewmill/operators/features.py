@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.functions.text import drop_words, word_ngrams
-from reviewmill.session import materialize
+from reviewmill.session import materialize, with_once
 
 MIN_TOKEN_CHARS = 2
 
@@ -23,7 +23,7 @@ def term_arrays(
 ) -> DataFrame:
     """(id, terms): n-grams over tokens of two or more characters, stop words out first."""
     kept = F.filter(F.col(tokens_col), lambda word: F.length(word) >= MIN_TOKEN_CHARS)
-    words = df.select(id_col, *keep, drop_words(kept, stop_words).alias("__words"))
+    words = with_once(df.select(id_col, *keep, tokens_col), __words=drop_words(kept, stop_words))
     return words.select(id_col, *keep, word_ngrams(F.col("__words"), *ngrams).alias("terms"))
 
 

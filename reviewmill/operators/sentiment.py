@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.config import SENTIMENTS, STARTER_BOOSTERS, STARTER_LEXICON, STARTER_NEGATORS
-from reviewmill.session import lookup, materialize
+from reviewmill.session import lookup, materialize, with_once
 
 # Constants of the published method (fixed values).
 NEGATED = -0.74
@@ -61,8 +61,8 @@ def starter_lexicon() -> Lexicon:
 
 def _context_rows(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
     """One row per token with the tokens around it, built inside the row."""
-    tokens = F.col(tokens_col)
-
+    df = with_once(df.select(id_col, F.col(tokens_col).alias("__in")), __tokens=F.col("__in"))
+    tokens = F.col("__tokens")
     indices = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1))
     offsets = {"w0": 0, "p1": -1, "p2": -2, "p3": -3, "n1": 1, "n2": 2}
     context = F.transform(

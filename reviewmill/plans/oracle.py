@@ -185,9 +185,9 @@ BASE = ",\n".join(
           count(*) FILTER (p = label) AS predicted
         FROM judged, (SELECT t AS label FROM judged UNION SELECT p FROM judged) GROUP BY label))""",
         # language grams
-        f"letters AS (SELECT doc_id, lang, clean, {_LETTERS} AS l FROM all_t)",
+        f"letters AS MATERIALIZED (SELECT doc_id, lang, length(trim(clean)) AS n_chars, {_LETTERS} AS l FROM all_t)",
         """letter_rows AS (
-  SELECT doc_id, lang, length(trim(clean)) AS n_chars, unnest(string_split(l, '')) AS c, generate_subscripts(string_split(l, ''), 1) AS i
+  SELECT doc_id, lang, n_chars, unnest(string_split(l, '')) AS c, generate_subscripts(string_split(l, ''), 1) AS i
   FROM letters WHERE trim(l) <> '')""",
         """grams AS MATERIALIZED (
   SELECT doc_id, lang, n_chars, gram FROM (
