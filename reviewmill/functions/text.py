@@ -98,18 +98,22 @@ def strip_urls(text: Column) -> Column:
 
 
 def collapse_to_words(text: Column) -> Column:
-    """Anything but ASCII letters and digits becomes one blank; ends trimmed."""
-    return F.trim(F.regexp_replace(text, "[^a-zA-Z0-9]+", " "))
+    """Anything but ASCII letters and digits becomes one blank; ends trimmed.
+
+    The pattern skips single blanks between words, which need no change.
+    """
+    return F.trim(F.regexp_replace(text, " *[^a-zA-Z0-9 ][^a-zA-Z0-9]*| {2,}", " "))
 
 
 def split_contractions(text: Column) -> Column:
+    initials = "".join(sorted({head[0] for head, _ in CONTRACTIONS}))
     heads = "|".join(rf"{head}(?={tail}\b)" for head, tail in CONTRACTIONS)
-    return F.regexp_replace(text, rf"\b({heads})", "$1 ")
+    return F.regexp_replace(text, rf"\b(?=[{initials}])({heads})", "$1 ")
 
 
-def word_tokens(text: Column) -> Column:
-    """Tokens of text that holds only ASCII letters, digits and blanks."""
-    return F.filter(F.split(split_contractions(text), " +"), lambda word: word != "")
+def word_tokens(text: Column, drop: tuple[str, ...] = ()) -> Column:
+    """Tokens of text that holds only ASCII letters, digits and blanks, without ``drop``."""
+    return drop_words(F.split(split_contractions(text), " "), ("", *drop))
 
 
 def drop_words(tokens: Column, words: tuple[str, ...]) -> Column:
@@ -124,7 +128,7 @@ def clean_tokens(text: Column, config: PlatformConfig) -> Column:
     out = normalize_brands(text, config.brand_rules)
     out = collapse_to_words(strip_urls(strip_emoji(out)))
     stop = tuple(dict.fromkeys(config.stop_list() + config.custom_stop_words))
-    return F.coalesce(drop_words(word_tokens(out), stop), F.array().cast("array<string>"))
+    return F.coalesce(word_tokens(out, stop), F.array().cast("array<string>"))
 
 
 def clean_text(text: Column, config: PlatformConfig) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.config import SENTIMENTS
+from reviewmill.session import literal_table
 
 
 def confusion_long(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
@@ -98,7 +99,7 @@ def confusion_counts(
     wide = counts.groupBy("true_label").agg(
         *[F.sum(F.when(F.col("pred_label") == name, F.col("n")).otherwise(0)).alias(name) for name in labels]
     )
-    rows = df.sparkSession.createDataFrame([(i, name) for i, name in enumerate(labels)], "position int, true_label string")
+    rows = literal_table(df.sparkSession, [(i, name) for i, name in enumerate(labels)], "position int, true_label string")
     filled = rows.join(wide, "true_label", "left").na.fill(0, list(labels))
     return filled.select("position", "true_label", *labels)
 

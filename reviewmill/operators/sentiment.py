@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.config import SENTIMENTS, STARTER_BOOSTERS, STARTER_LEXICON, STARTER_NEGATORS
-from reviewmill.session import lookup, materialize, with_once
+from reviewmill.session import literal_table, lookup, materialize
 
 # Constants of the published method (fixed values).
 NEGATED = -0.74
@@ -32,7 +32,17 @@ class Lexicon:
     idioms: tuple[tuple[str, float], ...] = ()
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """One lookup row per term: valence, booster increment, negation flag."""
+        """One lookup row per term: valence, booster increment, negation flag.
+
+        Word lists are merged here; with a DataFrame among them the merged table
+        is stored, so its size decides how it is joined.
+        """
+        given = (self.valences, self.boosters, self.negators)
+        if not any(isinstance(words, DataFrame) for words in given):
+            values, steps, negates = dict(self.valences), dict(self.boosters), {row[0] for row in self.negators}
+            terms = dict.fromkeys([*values, *steps, *negates])
+            rows = [(term, values.get(term), steps.get(term), term in negates) for term in terms]
+            return literal_table(spark, rows, "term string, valence double, increment double, negates boolean")
         parts = [
             lookup(spark, self.valences, "term string, valence double").select(
                 "term", "valence", F.lit(None).cast("double").alias("increment"), F.lit(False).alias("negates")
@@ -59,16 +69,16 @@ def starter_lexicon() -> Lexicon:
     return Lexicon(list(STARTER_LEXICON), list(STARTER_BOOSTERS), [(word,) for word in STARTER_NEGATORS], IDIOMS)
 
 
-def _context_rows(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    """One row per token with the tokens around it, built inside the row."""
-    df = with_once(df.select(id_col, F.col(tokens_col).alias("__in")), __tokens=F.col("__in"))
-    tokens = F.col("__tokens")
-    indices = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1))
-    offsets = {"w0": 0, "p1": -1, "p2": -2, "p3": -3, "n1": 1, "n2": 2}
-    context = F.transform(
-        indices, lambda i: F.struct(*[F.get(tokens, i + step).alias(name) for name, step in offsets.items()])
-    )
-    return df.select(id_col, F.inline(context))
+def _hits(df: DataFrame, id_col: str, tokens_col: str, scoring: DataFrame) -> DataFrame:
+    """One row per scoring token with the tokens around it.
+
+    The array stays beside its exploded words, so neighbours are only looked up
+    for the few words that met the lexicon.
+    """
+    words = df.select(id_col, F.col(tokens_col).alias("__t"), F.posexplode(tokens_col).alias("__i", "w0"))
+    offsets = {"p1": -1, "p2": -2, "p3": -3, "n1": 1, "n2": 2}
+    around = [F.get(F.col("__t"), F.col("__i") + step).alias(name) for name, step in offsets.items()]
+    return words.join(scoring, "w0").select(id_col, "w0", "v", *around)
 
 
 def _boosted(value: Column, step: int) -> Column:
@@ -130,8 +140,7 @@ def compound_scores(df: DataFrame, id_col: str, tokens_col: str, lexicon: Lexico
     after = table.filter("valence is not null").select(F.col("term").alias("n1"), F.lit(True).alias("kn"))
     # Only tokens that carry a valence can score; a booster in the lexicon scores 0.
     hits = (
-        _context_rows(df, id_col, tokens_col)
-        .join(here.filter("v is not null and i0 is null").drop("i0"), "w0")
+        _hits(df, id_col, tokens_col, here.filter("v is not null and i0 is null").drop("i0"))
         .filter(~((F.col("w0") == "kind") & F.coalesce(F.col("n1") == "of", F.lit(False))))
         .join(neighbour(1), "p1", "left")
         .join(neighbour(2), "p2", "left")

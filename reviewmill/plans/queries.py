@@ -15,7 +15,7 @@ from reviewmill.operators import classify, coherence, dedup, embedding_topics, f
 from reviewmill.operators import lda, metrics, nmf, phrases, profile, sentiment, split, vocab, words
 from reviewmill.plans import fixtures as fx
 from reviewmill.plans import reviews
-from reviewmill.session import materialize, shared_folder
+from reviewmill.session import literal_table, materialize, shared_folder
 from reviewmill.sources import reviews as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.with_clean_tokens(fx.documents(spark, sf_dir), DOC).select("doc_id", "lang", "tokens")
 
 
+def stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, stored, for queries that read it more than once."""
+    return materialize(tokenised(spark, sf_dir).select("doc_id", "tokens"), "tokens")
+
+
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """De-duplicated, cleaned, non-empty documents."""
     kept = reviews.clean_reviews(fx.documents(spark, sf_dir), DOC)
@@ -85,7 +90,8 @@ def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned documents with merged phrases, stored once for all fits."""
-    prepared = phrases.topic_model_tokens(cleaned(spark, sf_dir), "doc_id", "review_cleaned", out="topic_tokens")
+    texts = cleaned(spark, sf_dir).select("doc_id", "review_cleaned")
+    prepared = phrases.topic_model_tokens(texts, "doc_id", "review_cleaned", out="topic_tokens")
     return materialize(prepared.select("doc_id", "topic_tokens"), "topic_inputs")
 
 
@@ -207,8 +213,7 @@ def lemmatize_tokens(spark, sf_dir):
 @query
 def clean_text(spark, sf_dir):
     """All cleaning steps with lemmas, as one text."""
-    stored = materialize(tokenised(spark, sf_dir).select("doc_id", "tokens"), "tokens")
-    out = lemma.lemmatize(stored, "doc_id", "tokens")
+    out = lemma.lemmatize(stored_tokens(spark, sf_dir), "doc_id", "tokens")
     return out.select("doc_id", F.array_join("tokens", " ").alias("review_cleaned"))
 
 
@@ -403,19 +408,19 @@ def _classifier_tfidf() -> features.Tfidf:
 
 @query
 def tfidf_vocab(spark, sf_dir):
-    fitted = _classifier_tfidf().fit(tokenised(spark, sf_dir))
+    fitted = _classifier_tfidf().fit(stored_tokens(spark, sf_dir))
     return rounded(fitted.vocabulary, "idf")
 
 
 @query
 def tfidf_weights(spark, sf_dir):
-    docs = tokenised(spark, sf_dir)
+    docs = stored_tokens(spark, sf_dir)
     return rounded(_classifier_tfidf().fit(docs).weights(docs), "weight")
 
 
 @query
 def tfidf_nmf_weights(spark, sf_dir):
-    docs = tokenised(spark, sf_dir)
+    docs = stored_tokens(spark, sf_dir)
     fitted = features.Tfidf("doc_id", "tokens", (1, 1), min_df=10, max_df=0.95).fit(docs)
     return rounded(fitted.weights(docs), "weight")
 
@@ -475,26 +480,27 @@ def phrase_scores(spark, sf_dir):
 
 @query
 def merge_phrases(spark, sf_dir):
-    prepared = phrases.topic_model_tokens(cleaned(spark, sf_dir), "doc_id", "review_cleaned", out="topic_tokens")
+    texts = cleaned(spark, sf_dir).select("doc_id", "review_cleaned")
+    prepared = phrases.topic_model_tokens(texts, "doc_id", "review_cleaned", out="topic_tokens")
     return prepared.select("doc_id", F.array_join("topic_tokens", " ").alias("merged"))
 
 
 @query
 def vocabulary(spark, sf_dir):
-    return vocab.vocabulary(tokenised(spark, sf_dir), "tokens")
+    return vocab.vocabulary(stored_tokens(spark, sf_dir), "tokens")
 
 
 @query
 def bag_of_words(spark, sf_dir):
-    docs = tokenised(spark, sf_dir)
+    docs = stored_tokens(spark, sf_dir)
     return vocab.bag_of_words(docs, "doc_id", "tokens", vocab.fixed_vocabulary(docs, "tokens"))
 
 
 @query
 def topic_coherence(spark, sf_dir):
     rows = [(topic, word) for topic, listed in fx.COHERENCE_TOPICS for word in listed]
-    topics = spark.createDataFrame(rows, "topic int, word string")
-    return rounded(coherence.topic_coherence(tokenised(spark, sf_dir), "doc_id", "tokens", topics), "coherence")
+    topics = literal_table(spark, rows, "topic int, word string")
+    return rounded(coherence.topic_coherence(stored_tokens(spark, sf_dir), "doc_id", "tokens", topics), "coherence")
 
 
 @query
@@ -517,8 +523,8 @@ def lda_best_k(spark, sf_dir):
 
 def _sweep_table(spark: SparkSession, scores: list[tuple[int, float]]) -> DataFrame:
     best = coherence.best_topic_count(scores)
-    return spark.createDataFrame(
-        [(k, value, k == best) for k, value in scores], "k int, coherence double, is_best boolean"
+    return literal_table(
+        spark, [(k, value, k == best) for k, value in scores], "k int, coherence double, is_best boolean"
     )
 
 

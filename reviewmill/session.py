@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -77,12 +79,13 @@ def with_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(made))
 
 
-def lookup(spark: SparkSession, rows: DataFrame | list[tuple], schema: str) -> DataFrame:
-    """A lookup table given either as a DataFrame or as literal rows.
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows typed in by the caller as a local relation: known size, no Python worker."""
+    fields = T.StructType.fromDDL(schema)
+    columns = {field.name: [row[i] for row in rows] for i, field in enumerate(fields)}
+    return spark.createDataFrame(pa.table(columns), fields)
 
-    Literal rows were typed in by the caller, so they are small by construction
-    and get the broadcast hint.  A DataFrame gets none: its size decides.
-    """
-    if isinstance(rows, DataFrame):
-        return rows
-    return F.broadcast(spark.createDataFrame(rows, schema))
+
+def lookup(spark: SparkSession, rows: DataFrame | list[tuple], schema: str) -> DataFrame:
+    """A lookup table given either as a DataFrame or as literal rows."""
+    return rows if isinstance(rows, DataFrame) else literal_table(spark, rows, schema)
