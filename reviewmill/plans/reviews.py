@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.config import PlatformConfig
-from reviewmill.functions.text import clean_tokens, is_blank
+from reviewmill.functions.text import clean_text, clean_tokens, is_blank
 from reviewmill.operators.dedup import mark_repeats
 from reviewmill.operators.labels import standardize_labels
 from reviewmill.operators.language import LanguageModel
@@ -16,7 +16,7 @@ from reviewmill.operators.sentiment import Lexicon, compound_scores, label_senti
 from reviewmill.operators.split import stratified_split
 
 from reviewmill.operators.words import top_words_by, value_share
-from reviewmill.session import with_once
+from reviewmill.session import materialize, with_once
 
 
 def with_clean_tokens(df: DataFrame, config: PlatformConfig, out: str = "tokens") -> DataFrame:
@@ -35,14 +35,24 @@ def marked_reviews(
 
     Adds is_long, is_repeat, tokens, review_cleaned and, with a language model,
     detected_lang.  Filtering on the flags gives the cleaned table; counting them
-    gives the stage audit; neither needs the other's pass.
+    gives the stage audit; neither needs the other's pass.  First ids, lemmas and
+    languages are found from the raw rows and meet the table on its id, so whole
+    texts are shuffled once.
     """
-    marked = with_clean_tokens(mark_repeats(df, config.text_col, config.id_col, config.min_words), config)
+    marked = mark_repeats(df, config.text_col, config.id_col, config.min_words)
     if use_lemmas:
-        marked = lemmatize(marked, config.id_col, "tokens", lemmas)
+        plain = with_clean_tokens(df.select(config.id_col, config.text_col), config)
+        stored = materialize(plain.select(config.id_col, "tokens"), "tokens")
+        lemmatized = materialize(lemmatize(stored, config.id_col, "tokens", lemmas), "lemmas")
+        marked = marked.join(lemmatized, config.id_col)
+        texts = lemmatized.select(config.id_col, F.array_join("tokens", " ").alias("review_cleaned"))
+    else:
+        marked = with_clean_tokens(marked, config)
+        raw = df.select(config.id_col, config.text_col)
+        texts = with_once(raw, review_cleaned=clean_text(F.col(config.text_col), config))
     marked = marked.withColumn("review_cleaned", F.array_join("tokens", " "))
     if languages is not None:
-        marked = marked.join(languages.detect(marked, config.id_col, "review_cleaned"), config.id_col)
+        marked = marked.join(languages.detect(texts, config.id_col, "review_cleaned"), config.id_col)
     return marked
 
 
@@ -74,9 +84,13 @@ def cleaning_audit(df: DataFrame, config: PlatformConfig, languages: LanguageMod
 
 
 def score_reviews(cleaned: DataFrame, config: PlatformConfig, lexicon: Lexicon) -> DataFrame:
-    """Add compound and sentiment."""
-    scores = label_sentiment(compound_scores(cleaned, config.id_col, "tokens", lexicon))
-    return cleaned.join(scores, config.id_col)
+    """Add compound and sentiment.
+
+    The scores (an id and a number a row) are stored: the thresholds are found
+    from all of them before the first row can be labelled.
+    """
+    scores = materialize(compound_scores(cleaned, config.id_col, "tokens", lexicon), "scores")
+    return cleaned.join(label_sentiment(scores), config.id_col)
 
 
 def label_reviews(scored: DataFrame, config: PlatformConfig) -> DataFrame:
