@@ -434,7 +434,7 @@ def _parts(spark, sf_dir, label: str = "sentiment") -> tuple[DataFrame, DataFram
 @query
 def logreg_predictions(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
-    return classify.TfidfLogistic(_classifier_tfidf(), "sentiment").fit(train).predict(test, keep=("sentiment",))
+    return classify.TfidfLogistic(_classifier_tfidf(), "sentiment", max_iter=200).fit(train).predict(test, keep=("sentiment",))
 
 
 @query

@@ -69,6 +69,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def compact(df: DataFrame, n_rows: int, rows_per_task: int = 1000) -> DataFrame:
+    """Fewer tasks for an iterative fit on a small table; no effect on a large one."""
+    return df.coalesce(max(1, min(df.rdd.getNumPartitions(), n_rows // rows_per_task)))
+
+
 def with_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns that are evaluated once per row.
 
