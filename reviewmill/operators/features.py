@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.functions.text import drop_words, word_ngrams
-from reviewmill.session import materialize, with_once
+from reviewmill.session import exploded, materialize, with_once
 
 MIN_TOKEN_CHARS = 2
 
@@ -30,9 +30,7 @@ def term_arrays(
 def term_counts(terms: DataFrame, id_col: str) -> DataFrame:
     """(id, term, tf).  Texts move once, whole and by id; counting is then local."""
     placed = terms.select(id_col, "terms").repartition(F.col(id_col))
-    return placed.select(id_col, F.explode("terms").alias("term")).groupBy(id_col, "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    return exploded(placed, F.col("terms"), "term", id_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf_vocabulary(

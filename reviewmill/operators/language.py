@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.session import materialize
+from reviewmill.session import exploded, materialize
 
 GRAM = 3
 SMOOTHING = 0.5
@@ -27,7 +27,7 @@ def _gram_rows(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
     lettered = df.select(*keep, _letters(F.col(text_col)).alias("__letters")).filter(F.trim("__letters") != "")
     # A look-ahead per position yields overlapping grams in one linear scan.
     grams = F.regexp_extract_all("__letters", F.lit(f"(?=(.{{{GRAM}}}))"), 1)
-    return lettered.select(*keep, F.explode(grams).alias("gram"))
+    return exploded(lettered, grams, "gram", *keep)
 
 
 def language_profiles(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.config import NOUN_ENDINGS
-from reviewmill.session import materialize
+from reviewmill.session import exploded, materialize
 
 
 def _rewrites(word: Column) -> Column:
@@ -71,7 +71,7 @@ def lemmatize(
         lemmas = words.select(F.col("word").alias("lemma"))
     changes = materialize(lemma_map(words, lemmas, exceptions), "lemma_map")
     hits = (
-        df.select(id_col, F.explode(F.array_distinct(tokens_col)).alias("word"))
+        exploded(df, F.array_distinct(tokens_col), "word", id_col)
         .join(changes, "word")
         .groupBy(id_col)
         .agg(F.collect_list(F.struct("word", "lemma")).alias("__changes"))

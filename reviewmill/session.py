@@ -91,6 +91,15 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     return spark.createDataFrame(pa.table(columns), fields)
 
 
+def exploded(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """One row per element of a computed array.
+
+    The plain generator makes the planner test the array's size in a filter of
+    its own, which computes the array twice; the outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def lookup(spark: SparkSession, rows: DataFrame | list[tuple], schema: str) -> DataFrame:
     """A lookup table given either as a DataFrame or as literal rows."""
     return rows if isinstance(rows, DataFrame) else literal_table(spark, rows, schema)
