@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from reviewmill.llm import decontaminate, mixing, sharding, simhash
+from reviewmill.llm import decontaminate, mixing, sharding, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_warc": warc.op4_warc,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_reshard": sharding.op10_reshard,
