@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from reviewmill.llm import decontaminate, mixing, sharding, simhash, warc
+from reviewmill.llm import decontaminate, html_text, mixing, pii, quality, sharding, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_main_text": html_text.op2_main_text,
     "op4_warc": warc.op4_warc,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_personal_data": pii.op6_personal_data,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_quality": quality.op9_quality,
     "op10_reshard": sharding.op10_reshard,
 }
 ORACLE = {"op5_decontaminate": decontaminate.OP5_SQL, "op8_mix_sources": mixing.OP8_SQL}
