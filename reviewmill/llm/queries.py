@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reviewmill.llm import decontaminate, html_text, mixing, pii, quality, sharding, simhash, warc
+from reviewmill.llm import decontaminate, html_text, mixing, pii, quality, sharding, simhash, suffixes, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_personal_data": pii.op6_personal_data,
+    "op7_repeated_strings": suffixes.op7_repeated_strings,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality": quality.op9_quality,
     "op10_reshard": sharding.op10_reshard,
