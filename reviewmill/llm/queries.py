@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from reviewmill.llm import decontaminate, html_text, mixing, pii, quality, sharding, simhash, suffixes, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_simhash": simhash.op1_simhash,
     "op2_main_text": html_text.op2_main_text,
     "op4_warc": warc.op4_warc,

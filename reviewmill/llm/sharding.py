@@ -121,6 +121,7 @@ def reshard(
     id_col: str = "doc_id",
     text_col: str = "text",
     old_shard: Column | None = None,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, text_hash, size, text_crc32, law, old_shard, shard, slot, grown_shard.
 
@@ -128,35 +129,38 @@ def reshard(
     ``old_shard`` (0 to n_shards - 1) defaults to where a hash of the text puts the
     document; equal texts share a block, hence a shard, as long as they share an old
     one. A group larger than a shard is cut into pieces by document id, since no
-    shard could hold it.
+    shard could hold it. With ``carry`` a column ``row`` has the document's own columns.
 
     A null text counts as empty (size 1, CRC 0). Null ids and repeated rows are
     rows like any other, each with its own slot. An empty table gives an empty table.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(
+    block = F.pmod("text_hash", F.lit(n_shards * BLOCKS))
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    whole = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"), F.xxhash64(text).alias("text_hash"),
-        (old_shard if old_shard is not None else F.lit(None)).cast("int").alias("given"),
+        (old_shard if old_shard is not None else F.lit(None)).cast("int").alias("given"), *carried,
     )
-    block = F.pmod("text_hash", F.lit(n_shards * BLOCKS))
-    rows = rows.withColumn("old_shard", F.coalesce("given", F.floor(block / BLOCKS).cast("int"))).withColumn("block", block).drop("given")
-    rows = materialize(rows, "sizes")
+    whole = whole.withColumn("old_shard", F.coalesce("given", F.floor(block / BLOCKS).cast("int"))).withColumn("block", block).drop("given")
+    rows = materialize(whole.drop("row"), "sizes")
     total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     if not n_rows:
-        return _numbered(rows.withColumn("shard", F.lit(0)), 1)
+        return _numbered(whole.withColumn("shard", F.lit(0)), 1, carry)
 
     # At most n_shards * HEAVY groups pass, whatever the input: their sizes add up to the total at most.
     share = max(1, total // n_shards)
     heavy = rows.groupBy("text_hash").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") * HEAVY > share).collect()
     pieces = [(g.text_hash, 1 if g.bytes <= share else -(-g.bytes * HEAVY // share)) for g in heavy]
     large = literal_table(rows.sparkSession, pieces, "text_hash long, pieces long")
-    rows = rows.join(F.broadcast(large), "text_hash", "left")
-    cut = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(0)
-    rows = rows.withColumn("part", F.when(F.col("pieces").isNotNull(), cut)).withColumn("block", F.when(F.col("pieces").isNotNull(), F.col("text_hash")).otherwise(F.col("block")))
+
+    def in_blocks(frame: DataFrame) -> DataFrame:
+        cut = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(0)
+        alone = F.col("pieces").isNotNull()
+        return frame.join(F.broadcast(large), "text_hash", "left").withColumn("part", F.when(alone, cut)).withColumn("block", F.when(alone, F.col("text_hash")).otherwise(F.col("block")))
 
     keys = ["old_shard", "block", "part"]
-    sizes = sorted(rows.groupBy(*keys).agg(F.sum("size").alias("bytes")).collect(), key=lambda r: (r.old_shard, r.block, -1 if r.part is None else r.part))
+    sizes = sorted(in_blocks(rows).groupBy(*keys).agg(F.sum("size").alias("bytes")).collect(), key=lambda r: (r.old_shard, r.block, -1 if r.part is None else r.part))
     capacity = [total // n_shards + (i < total % n_shards) for i in range(n_shards)]
     target = place_blocks([(r.old_shard, r.bytes) for r in sizes], capacity)
     plan = literal_table(
@@ -164,18 +168,18 @@ def reshard(
         "to_old int, to_block long, to_part long, shard int",
     )
     same = (F.col("old_shard") == F.col("to_old")) & (F.col("block") == F.col("to_block")) & F.col("part").eqNullSafe(F.col("to_part"))
-    return _numbered(rows.join(F.broadcast(plan), same), max(n_shards, n_rows // SLOT_ROWS))
+    return _numbered(in_blocks(whole if carry else rows).join(F.broadcast(plan), same), max(n_shards, n_rows // SLOT_ROWS), carry)
 
 
-def _numbered(rows: DataFrame, chunks: int) -> DataFrame:
+def _numbered(rows: DataFrame, chunks: int, carry: bool) -> DataFrame:
     """Gapless slots: rows are ranked in chunks, and each chunk starts where those before it end."""
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(chunks)))
     rank = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_hash")) - 1
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "chunk").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = rows.select("shard", "chunk").groupBy("shard", "chunk").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
     return rows.withColumn("rank", rank).join(starts.drop("n"), ["shard", "chunk"]).select(
         "doc_id", "text_hash", "size", "text_crc32", F.lit("bytes").alias("law"), "old_shard", F.col("shard").cast("int"),
-        (F.col("first") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        (F.col("first") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *(["row"] if carry else []),
     )
 
 

@@ -15,7 +15,8 @@ all that name one are within the radius of each other, so each links to the smal
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import chain
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -32,19 +33,26 @@ COMPARED = 2048  # a bucket up to this size is compared pairwise, a larger one b
 CHUNK = 65_536  # shingles whose bits are counted at once
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """64-bit SimHash of the words' shingles; 0 if there are no words."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, and split at \x20\x09-\x0D
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # bytes: A-Z only, and split at \x20\x09-\x0D
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words, repeats included; of the whole sequence if it is shorter."""
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     spans = zip(starts[:n].tolist(), ends[len(words) - n :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
-    votes = np.zeros(64, dtype=np.int64)
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if it is set in over half of the hashes; 0 if there are none."""
+    n, votes = len(hashes), np.zeros(64, dtype=np.int64)
     for at in range(0, n, CHUNK):
         part = hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -55,18 +63,26 @@ def fingerprint_column(text: Column, shingle: int) -> Column:
     """SimHash as a (signed) long; null texts get 0."""
 
     @F.pandas_udf("long")
-    def simhash(texts: pd.Series) -> pd.Series:
-        made = np.fromiter((fingerprint(t, shingle) for t in texts), dtype=np.uint64, count=len(texts))
+    def fingerprint(texts: pd.Series) -> pd.Series:
+        made = np.fromiter((simhash(shingle_hashes(words_of(t), shingle)) for t in texts), dtype=np.uint64, count=len(texts))
         return pd.Series(made.view(np.int64))
 
-    return simhash(text)
+    return fingerprint(text)
 
 
-def covering_masks(radius: int, seed: int = 1) -> list[int]:
-    """2^(radius+1) - 1 masks; two 64-bit values within ``radius`` agree under at least one."""
-    codes = [1 + i % (2 ** (radius + 1) - 1) for i in range(64)]
-    np.random.default_rng(seed).shuffle(codes)
-    return [sum(1 << i for i, code in enumerate(codes) if bin(code & v).count("1") % 2) for v in range(1, 2 ** (radius + 1))]
+def covering_masks(radius: int, tries: int = 200) -> list[int]:
+    """2^(radius+1) - 1 masks; two 64-bit values within ``radius`` agree under at least one.
+
+    Any codes of the positions do; of some drawn ones those are taken whose thinnest
+    mask has most bits, since a thin mask makes large buckets.
+    """
+    codes = list(range(1, 2 ** (radius + 1))) * -(-64 // (2 ** (radius + 1) - 1))
+    best: list[int] = []
+    for seed in range(tries):
+        drawn = np.random.default_rng(seed).permutation(codes)[:64].tolist()
+        masks = [sum(1 << i for i, code in enumerate(drawn) if (code & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
+        best = max(best, masks, key=lambda m: min((x.bit_count() for x in m), default=0))
+    return best
 
 
 def _signed(value: int) -> int:
@@ -74,35 +90,33 @@ def _signed(value: int) -> int:
 
 
 def _linked(group: np.ndarray, value: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that keep the components of each group; rows of a group stand together."""
+    """Links that keep the components of each group; rows of a group stand together.
+
+    Row i is compared with row i - 1, i - 2, ... of its group, unless the two are
+    connected already, so a dense group soon needs no comparison.
+    """
     n = len(value)
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     place = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
-    label, rows, left, right = np.arange(n), np.flatnonzero(place >= 1), [], []
-    lag = 1
+    label, rows, lag = np.arange(n), np.flatnonzero(place >= 1), 1
     while len(rows):
-        near = rows[np.bitwise_count(value[rows] ^ value[rows - lag]) <= radius]
-        left.append(near - lag)
-        right.append(near)
+        open_ = rows[label[rows] != label[rows - lag]]
+        near = open_[np.bitwise_count(value[open_] ^ value[open_ - lag]) <= radius]
+        while len(near):
+            a, b = label[near], label[near - lag]
+            near = near[a != b]
+            a, b = np.maximum(a, b)[a != b], np.minimum(a, b)[a != b]
+            np.minimum.at(label, a, b)  # a and b are roots, so this hangs one tree under another
+            while (label != label[label]).any():
+                label = label[label]
         lag += 1
         rows = rows[place[rows] >= lag]
-    if not left:
-        return value[:0], value[:0]
-    a, b = np.concatenate(left), np.concatenate(right)
-    while True:
-        least = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label = label[label]
-        if (label == before).all():
-            break
     moved = np.flatnonzero(label != np.arange(n))
     return value[moved], value[label[moved]]
 
 
-def _bucket_links(radius: int):
-    """Sorted (mask, key, fp) rows to links (mask -1); rows of buckets over COMPARED pass on with their mask."""
+def _bucket_links(radius: int, compared: int):
+    """Sorted (mask, key, fp) rows to links (mask -1); rows of buckets over ``compared`` pass on with their mask."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, hot = None, None
@@ -114,7 +128,7 @@ def _bucket_links(radius: int):
             mask, key, fp = (rows[c].to_numpy() for c in ("mask", "key", "fp"))
             starts = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
             sizes = np.diff(np.r_[starts, len(fp)])
-            large = sizes > COMPARED
+            large = sizes > compared
             large[0] |= hot == (mask[0], key[0])
             done = np.ones(len(starts), dtype=bool)
             done[-1] = last or large[-1]
@@ -137,21 +151,26 @@ def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
     if radius % 2:
         raise ValueError("an even radius: two halves of it make up the way between two fingerprints")
     masks = covering_masks(radius)
-    keyed = prints.select("fp", F.posexplode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask", "bits"))
-    keyed = keyed.select("mask", F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp")
-    sorted_rows = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key")
-    found = materialize(sorted_rows.mapInPandas(_bucket_links(radius), "a long, b long, mask int"), "links")
+    free = max(64 - m.bit_count() for m in masks)
+    compared = max(COMPARED, sum(comb(free, k) for k in range(radius // 2 + 1)))
+    bits = F.array(*[F.lit(_signed(m)) for m in masks])
+    keyed = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("mask"))
+    key = F.col("fp").bitwiseAND(F.get(bits, F.col("mask")))
+    # The key is dealt by, but not sent: it follows from the other two.
+    sorted_rows = keyed.repartition("mask", key).select("mask", key.alias("key"), "fp").sortWithinPartitions("mask", "key")
+    found = materialize(sorted_rows.mapInPandas(_bucket_links(radius, compared), "a long, b long, mask int"), "links")
     near = found.filter("mask < 0").select("a", "b")
     large = found.filter("mask >= 0").select("mask", F.col("a").alias("fp"))
     if large.isEmpty():
         return near
-    flips = []
-    for k, m in enumerate(masks):
-        free = [1 << i for i in range(64) if not m >> i & 1]
-        for size in range(radius // 2 + 1):
-            flips += [(k, _signed(sum(c))) for c in combinations(free, size)]
-    # The flips depend on the radius alone, not on the data.
-    around = large.join(F.broadcast(literal_table(prints.sparkSession, flips, "mask int, flip long")), "mask").select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle"))
+    single = [(k, i, _signed(1 << i)) for k, m in enumerate(masks) for i in range(64) if not m >> i & 1]
+    one = literal_table(prints.sparkSession, single, "mask int, bit int, flip long")
+    flips = one.select("mask", F.lit(-1).alias("bit"), F.lit(0).cast("long").alias("flip")).distinct()
+    for _ in range(radius // 2):  # the unmasked bits that may be turned; their number depends on the radius alone
+        more = one.select(F.col("mask").alias("m"), F.col("bit").alias("next"), F.col("flip").alias("turned"))
+        longer = flips.join(more, (F.col("mask") == F.col("m")) & (F.col("next") > F.col("bit")))
+        flips = flips.unionByName(longer.select("mask", F.col("next").alias("bit"), F.col("flip").bitwiseXOR(F.col("turned")).alias("flip"))).distinct()
+    around = large.join(flips, "mask").select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle"))
     least = F.min("fp").over(Window.partitionBy("middle"))
     return near.unionByName(around.select("fp", least.alias("b")).filter("fp <> b").distinct().select(F.col("fp").alias("a"), "b"))
 
@@ -185,5 +204,90 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
+def coarse_fingerprints(text: Column) -> Column:
+    """Two SimHashes, of the distinct words and of the pairs of words: (words, pairs)."""
+
+    @F.pandas_udf("words long, pairs long")
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        made = np.zeros((len(texts), 2), np.uint64)
+        for i, t in enumerate(texts):
+            words = words_of(t)
+            made[i] = simhash(np.unique(shingle_hashes(words, 1))), simhash(shingle_hashes(words, 2))
+        return pd.DataFrame(made.view(np.int64), columns=["words", "pairs"])
+
+    return prints(text)
+
+
+def shingle_set(text: Column, shingle: int) -> Column:
+    """The distinct hashes of a text's shingles."""
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(words_of(t), shingle)).view(np.int64) for t in texts], dtype=object)
+
+    return hashes(text)
+
+
+def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
+    """(text_hash, first_hash) of every distinct text that goes: it resembles the text it names, which stays.
+
+    Candidates are the components of texts whose fingerprints, of the distinct words
+    or of the pairs of words, differ in ``radius`` bits at most. In a component the
+    text with the smallest id stays; texts whose ``shingle``-word shingles have a
+    Jaccard similarity of ``similarity`` or more with it go. What is left of the
+    component goes on to the next round with the smallest id left.
+
+    Null, empty and blank texts have no shingles and resemble each other wholly. An
+    empty table gives an empty table. Ids that are null come last, by hash.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), coarse_fingerprints(text).alias("p"))
+    nodes = rows.groupBy("text_hash", "p.words", "p.pairs").agg(F.min("doc_id").alias("doc_id"))
+    nodes = materialize(nodes, "texts")
+    star = None
+    for name in ("words", "pairs"):
+        prints = materialize(nodes.groupBy(name).agg(F.min("text_hash").alias("hub")), f"prints_{name}")
+        # Texts of one fingerprint link to one of them; fingerprints link among each other.
+        same = nodes.join(prints, name).select(F.col("text_hash").alias("a"), F.col("hub").alias("b"))
+        links = fingerprint_links(prints.select(F.col(name).alias("fp")), radius)
+        hubs = prints.select(F.col(name).alias("fp"), "hub")
+        near = links.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("left")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("right")), "b")
+        both = same.filter("a <> b").unionByName(near.select(F.col("left").alias("a"), F.col("right").alias("b")))
+        star = both if star is None else star.unionByName(both)
+    roots = materialize(connected_components(star, "text_components"), "roots")
+    members = roots.join(nodes.select("text_hash", "doc_id"), F.col("node") == F.col("text_hash")).select("text_hash", "root", "doc_id")
+    # Shingles only of the texts that have a candidate; copies of a text have one set.
+    wanted = docs.select(F.xxhash64(text).alias("hash"), text.alias("whole")).join(roots.select(F.col("node").alias("hash")), "hash", "left_semi")
+    sets = wanted.dropDuplicates(["hash"]).select("hash", shingle_set(F.col("whole"), shingle).alias("shingles"))
+    left = materialize(members.join(sets, F.col("text_hash") == F.col("hash")).select("text_hash", "root", "doc_id", "shingles"), "candidates")
+    gone = None
+    while not left.isEmpty():
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+        heads = left.groupBy("root").agg(F.min(order).alias("head"), F.count("*").alias("n")).filter("n > 1").select(F.col("root").alias("of"), F.col("head.text_hash").alias("first_hash"))
+        heads = heads.join(left.select(F.col("text_hash").alias("first_hash"), F.col("shingles").alias("first_shingles")), "first_hash")
+        pairs = left.join(heads, F.col("root") == F.col("of")).filter("text_hash <> first_hash")
+        shared = F.size(F.array_intersect("shingles", "first_shingles"))
+        union = F.size("shingles") + F.size("first_shingles") - shared
+        tried = materialize(pairs.withColumn("like", (shared >= similarity * union) | (union == 0)).select("text_hash", "root", "doc_id", "shingles", "first_hash", "like"), "tried")
+        found = tried.filter("like").select("text_hash", "first_hash")
+        gone = found if gone is None else gone.unionByName(found)
+        left = tried.filter("NOT like").select("text_hash", "root", "doc_id", "shingles")
+    return gone if gone is not None else literal_table(docs.sparkSession, [], "text_hash long, first_hash long")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without near and exact duplicates: of each group the smallest id stays.
+
+    Of rows with one text that with the smallest id stays (any of them if rows repeat;
+    a null id comes last), and none if the text resembles one that stays. Copies are
+    reduced to one row before they are shuffled.
+    """
+    text, key = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{id_col}`")
+    gone = materialize(similar_texts(docs, id_col=id_col, text_col=text_col, **options).select("text_hash"), "gone")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.groupBy(F.xxhash64(text).alias("hash")).agg(F.min_by(row, F.struct(key.isNull(), key)).alias("row"))
+    return one.join(gone, F.col("hash") == F.col("text_hash"), "left_anti").select("row.*")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "n_links")

@@ -67,6 +67,7 @@ def test_large_buckets(spark, monkeypatch):
     found = []
     for size in (2048, 1):
         monkeypatch.setattr(simhash, "COMPARED", size)
+        monkeypatch.setattr(simhash, "comb", lambda n, k, size=size: size)
         links = simhash.fingerprint_links(prints, 4).collect()
         roots = simhash.connected_components(spark.createDataFrame([(x.a, x.b) for x in links], "a long, b long"))
         found.append({r.node % 2**64: r.root for r in roots.collect()})
@@ -85,3 +86,50 @@ def test_odd_rows(spark, odd, empty):
 def test_long_chain(spark):
     links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in simhash.connected_components(links).collect()} == {0}
+
+
+def jaccard(a, b, n=5):
+    words = [(t or "").encode().lower().split() for t in (a, b)]
+    sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set() for w in words]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def edited(words, n, draw):
+    """A copy with n words changed."""
+    out = list(words)
+    for at in draw.sample(range(len(out)), n):
+        out[at] = f"new{draw.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_keep_one(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 9)))
+    texts = [[word() for _ in range(draw.randint(60, 300))] for _ in range(80)]
+    docs = []
+    for words in texts:
+        docs.append((len(docs), " ".join(words), "en", "s", 1))
+        for k in (0, 1, 2, len(words) // 4):
+            docs.append((len(docs), edited(words, k, draw), "en", "s", 1))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = {r.doc_id for r in simhash.keep_one(frame).collect()}
+    near = [i for i in range(len(docs)) if i % 5 in (1, 2, 3) and jaccard(docs[i][1], docs[i // 5 * 5][1]) >= 0.8]
+    clean = [i for i in range(len(docs)) if i % 5 in (0, 4)]
+    assert set(clean) <= kept
+    assert len(kept & set(near)) <= 0.05 * len(near)
+
+
+def test_keep_one_never_drops_the_unlike(spark, documents):
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    kept = simhash.keep_one(documents)
+    assert kept.columns == documents.columns
+    left = {r.doc_id for r in kept.collect()}
+    for i in set(texts) - left:
+        assert any(jaccard(texts[i], texts[k]) >= 0.8 for k in left if k < i)
+    assert len({texts[i] for i in left}) == len(left)
+
+
+def test_keep_one_odd_rows(spark, odd, empty):
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "5", "7", "8", "9", "None"]
+    assert simhash.keep_one(empty).count() == 0
