@@ -3,18 +3,17 @@
 Text is compared by its SHA-256 digest, so the shuffles that look for copies
 carry 32 bytes and an id per review instead of whole texts.  No step sends all
 copies of one text to one task: counts and first ids are aggregated before the
-shuffle, and where every member row is needed the digest is salted.
+shuffle, and where every member row is needed adaptive execution splits the join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.functions.text import has_min_words
 
-SALTS = 64
-_KEY, _SALT, _LONG = "__key", "__salt", "__long"
+_KEY = "__key"
 
 
 def text_key(text: Column) -> Column:
@@ -31,26 +30,17 @@ def long_short_counts(df: DataFrame, text_col: str, min_words: int = 15) -> Data
     return flagged.groupBy("is_long").agg(F.count(F.lit(1)).alias("n"))
 
 
-def duplicate_members(
-    df: DataFrame, text_col: str, id_col: str, min_words: int = 0, salts: int = SALTS
-) -> DataFrame:
-    """Every row whose text occurs more than once, with ``n_copies``.
+def duplicate_members(df: DataFrame, text_col: str, id_col: str, min_words: int = 0) -> DataFrame:
+    """Every row whose text occurs more than once, with ``n_copies`` and ``group_id``.
 
-    Counts per (digest, salt) are summed over at most ``salts`` rows per digest,
-    then joined back on (digest, salt): a text that makes up a third of the table
-    is spread over ``salts`` join keys.
+    Counts and smallest ids are aggregated map-side, so a text that makes up a third
+    of the table is one row a task. The join back on the digest may meet a hot text;
+    it is a plain equi-join, which adaptive execution splits.
     """
     rows = df.filter(has_min_words(F.col(text_col), min_words)) if min_words > 0 else df
-    rows = rows.withColumn(_KEY, text_key(F.col(text_col))).withColumn(
-        _SALT, F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int")
-    )
-    slices = rows.groupBy(_KEY, _SALT).agg(F.count(F.lit(1)).alias("n_slice"))
-    copies = (
-        slices.withColumn("n_copies", F.sum("n_slice").over(Window.partitionBy(_KEY)))
-        .filter(F.col("n_copies") > 1)
-        .select(_KEY, _SALT, "n_copies")
-    )
-    return rows.join(copies, [_KEY, _SALT])
+    keyed = rows.withColumn(_KEY, text_key(F.col(text_col)))
+    copies = keyed.groupBy(_KEY).agg(F.count(F.lit(1)).alias("n_copies"), F.min(id_col).alias("group_id"))
+    return keyed.join(copies.filter(F.col("n_copies") > 1), _KEY)
 
 
 def raw_duplicates(df: DataFrame, text_col: str, id_col: str, min_words: int = 0) -> DataFrame:
@@ -59,25 +49,13 @@ def raw_duplicates(df: DataFrame, text_col: str, id_col: str, min_words: int = 0
     return members.select(*df.columns, "n_copies")
 
 
-def duplicate_groups(
-    df: DataFrame, text_col: str, id_col: str, min_words: int = 15, id_span: int = 1_000_000
-) -> DataFrame:
-    """Row numbers of each group of equal long texts.
+def duplicate_groups(df: DataFrame, text_col: str, id_col: str, min_words: int = 15) -> DataFrame:
+    """Members of each group of equal long texts: (group_id, id, n_copies), a row each.
 
-    The list of a group is cut by id range, ``id_span`` ids to a piece, so one
-    row holds at most ``id_span`` numbers however often a text was copied.
+    A group's id is its smallest row id. Members are rows, not a list, so no group
+    grows with its copies.
     """
-    members = duplicate_members(df, text_col, id_col, min_words)
-    piece = F.floor(F.col(id_col) / F.lit(id_span)).cast("long").alias("piece")
-    return (
-        members.groupBy(_KEY, piece)
-        .agg(
-            F.min(text_col).alias(text_col),
-            F.max("n_copies").alias("n_copies"),
-            F.sort_array(F.collect_list(id_col)).alias("row_numbers"),
-        )
-        .drop(_KEY)
-    )
+    return duplicate_members(df.select(id_col, text_col), text_col, id_col, min_words).select("group_id", id_col, "n_copies")
 
 
 def first_ids(df: DataFrame, text_col: str, id_col: str) -> DataFrame:

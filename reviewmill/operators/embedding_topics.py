@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, Word2Vec
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +15,6 @@ from reviewmill.session import materialize
 OUTLIER = -1
 
 
-def document_vectors(
-    df: DataFrame, id_col: str, tokens_col: str, size: int = 64, min_count: int = 5, seed: int = 42
-) -> DataFrame:
-    """(id, vector): averaged word vectors, for tables without an embedding column."""
-    model = Word2Vec(inputCol=tokens_col, outputCol="__v", vectorSize=size, minCount=min_count, seed=seed).fit(df)
-    return model.transform(df).select(id_col, vector_to_array("__v").alias("vector"))
-
-
 def reduce_vectors(df: DataFrame, id_col: str, vector_col: str, dimensions: int = 5) -> DataFrame:
     """(id, reduced): projection on the first principal components."""
     ready = df.select(id_col, array_to_vector(doubles(F.col(vector_col))).alias("__v"))
@@ -35,14 +28,15 @@ def cluster_vectors(
     vector_col: str,
     k: int = 10,
     min_topic_size: int = 20,
-    outlier_quantile: float = 0.95,
+    spread: float = 3.0,
     seed: int = 42,
 ) -> DataFrame:
     """(id, topic, distance): k-means clusters, -1 for rows without a topic.
 
-    Clusters below ``min_topic_size`` and rows farther from their centre than the
-    ``outlier_quantile`` of their cluster become -1.  Topics are numbered from 0
-    by size, largest first.
+    Clusters below ``min_topic_size`` become -1, and so do rows farther from their
+    centre than the mean of their cluster's distances plus ``spread`` times their
+    standard deviation; a tight cluster loses none.  Topics are numbered from 0 by
+    size, largest first.
     """
     ready = df.select(id_col, doubles(F.col(vector_col)).alias("__d")).withColumn("__v", array_to_vector("__d"))
     model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="__c", maxIter=50).fit(ready)
@@ -56,7 +50,7 @@ def cluster_vectors(
     # One row per cluster, k in all.
     stats = placed.groupBy("__c").agg(
         F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("distance", F.lit(outlier_quantile), F.lit(10_000)).alias("__far"),
+        (F.avg("distance") + spread * F.stddev_pop("distance") + 1e-9).alias("__far"),
     )
     order = Window.orderBy(F.desc("__n"), F.asc("__c"))
     kept = stats.filter(F.col("__n") >= min_topic_size).withColumn("__topic", F.row_number().over(order) - 1)
@@ -165,14 +159,16 @@ def topic_sizes(assigned: DataFrame, topic_col: str = "topic") -> DataFrame:
     return assigned.groupBy(F.col(topic_col).alias("topic")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def centroid_table(df: DataFrame, topic_col: str, vector_col: str) -> DataFrame:
+    """(topic, mean): the mean vector of each topic, summed map-side."""
+    vectors = df.select(F.col(topic_col).alias("topic"), array_to_vector(doubles(F.col(vector_col))).alias("__v"))
+    means = vectors.groupBy("topic").agg(Summarizer.mean(F.col("__v")).alias("mean"))
+    return materialize(means.select("topic", vector_to_array("mean").alias("mean")), "centroids")
+
+
 def centroids(df: DataFrame, topic_col: str, vector_col: str) -> dict[int, list[float]]:
-    """Mean vector per topic; one row per (topic, dimension) reaches the driver."""
-    long = df.select(F.col(topic_col).alias("topic"), F.posexplode(doubles(F.col(vector_col))).alias("i", "x"))
-    rows = long.groupBy("topic", "i").agg(F.avg("x").alias("x")).collect()
-    out: dict[int, list[float]] = {}
-    for row in sorted(rows, key=lambda r: (r["topic"], r["i"])):
-        out.setdefault(row["topic"], []).append(row["x"])
-    return out
+    """The same on the driver: a vector per topic of a clustering."""
+    return {row["topic"]: list(row["mean"]) for row in centroid_table(df, topic_col, vector_col).orderBy("topic").collect()}
 
 
 def representative_docs(
@@ -182,18 +178,15 @@ def representative_docs(
 
     Ranking carries ids only; the few winners then fetch their text.
     """
-    means = centroids(df.filter(F.col(topic_col) != OUTLIER), topic_col, vector_col)
-    table = F.create_map(*[part for topic, mean in means.items() for part in (F.lit(topic), literal_vector(mean))])
-    near = cosine(doubles(F.col(vector_col)), F.try_element_at(table, F.col(topic_col)))
-    rated = df.filter(F.col(topic_col) != OUTLIER).select(
-        F.col(topic_col).alias("topic"), F.col(id_col), F.round(near, 6).alias("similarity")
-    )
+    inside = df.filter(F.col(topic_col) != OUTLIER).select(F.col(topic_col).alias("topic"), id_col, doubles(F.col(vector_col)).alias("__v"))
+    near = cosine(F.col("__v"), F.col("mean"))
+    rated = inside.join(centroid_table(inside, "topic", "__v"), "topic").select("topic", id_col, F.round(near, 6).alias("similarity"))
     order = Window.partitionBy("topic").orderBy(F.desc("similarity"), F.asc(id_col))
     best = rated.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
     best = best.select("topic", "rank", id_col, "similarity")
     if text_col is None:
         return best
-    winners = F.broadcast(best)  # n rows per topic
+    winners = materialize(best, "winners")  # its size decides how it meets the texts
     return df.select(id_col, F.substring(text_col, 1, chars).alias("text")).join(winners, id_col).select(
         "topic", "rank", id_col, "similarity", "text"
     )

@@ -53,8 +53,8 @@ class Tfidf:
     """Fit on one table, weigh any other.
 
     The vocabulary is written out once.  ``weights`` joins it by its real size
-    and works for any vocabulary; ``vectors`` needs term positions on the driver,
-    so it asks for a vocabulary of at most ``max_vector_terms`` terms.
+    and works for any vocabulary; ``vectors`` needs the term positions on the driver,
+    so a large vocabulary wants ``max_features`` or ``weights``.
     """
 
     def __init__(
@@ -89,12 +89,12 @@ class Tfidf:
         return raw.select(self.id_col, "term", "tf", (F.col("w") / norm).alias("weight"))
 
     def vectors(
-        self, df: DataFrame, keep: tuple[str, ...] = (), out: str = "features", max_vector_terms: int = 1_000_000
+        self, df: DataFrame, keep: tuple[str, ...] = (), out: str = "features"
     ) -> DataFrame:
         """(id, *keep, features): the same weights as sparse vectors, row by row in the JVM."""
-        rows = self.vocabulary.select("term", "idf").orderBy("term").limit(max_vector_terms + 1).collect()
-        if not rows or len(rows) > max_vector_terms:
-            raise ValueError(f"vectors need 1 to {max_vector_terms} terms; use weights() or max_features")
+        rows = self.vocabulary.select("term", "idf").orderBy("term").collect()
+        if not rows:
+            raise ValueError("vectors need a term at least")
         counter = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol="terms", outputCol="__tf")
         scaler = ElementwiseProduct(
             scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="__tf", outputCol="__tfidf"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +20,14 @@ def _letters(text: Column) -> Column:
     )
 
 
-def _gram_rows(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
-    """One row per trigram of each text that has letters."""
+def _lettered(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """Texts that have letters, and their number of trigrams."""
     lettered = df.select(*keep, _letters(F.col(text_col)).alias("__letters")).filter(F.trim("__letters") != "")
+    return lettered.withColumn("__n", F.length("__letters") - (GRAM - 1))
+
+
+def _gram_rows(lettered: DataFrame, *keep: str) -> DataFrame:
+    """One row per trigram."""
     # A look-ahead per position yields overlapping grams in one linear scan.
     grams = F.regexp_extract_all("__letters", F.lit(f"(?=(.{{{GRAM}}}))"), 1)
     return exploded(lettered, grams, "gram", *keep)
@@ -32,62 +35,50 @@ def _gram_rows(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
 
 def language_profiles(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, gram, n): trigram counts per language of a labelled table."""
-    grams = _gram_rows(df, text_col, lang_col)
+    grams = _gram_rows(_lettered(df, text_col, lang_col), lang_col)
     return grams.groupBy(F.col(lang_col).alias("lang"), "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 class LanguageModel:
-    """Smoothed trigram log-probabilities, one row per gram, one column per language.
+    """Smoothed trigram log-probabilities: rows (gram, lang, gain) and (lang, missing).
 
-    Cleaned text has 27 symbols left, so there are at most 19,683 grams; the
-    table is written out and its size decides how it is joined.
+    ``missing`` is the log-probability of an unseen gram, ``gain`` what a seen one adds
+    to it, so a text's score is its number of grams times ``missing`` plus the gains
+    found. Any number of languages; both tables are written out and their size decides
+    how they are joined.
     """
 
-    def __init__(self, profiles: DataFrame, smoothing: float = SMOOTHING, max_languages: int = 200):
+    def __init__(self, profiles: DataFrame, smoothing: float = SMOOTHING):
         profiles = materialize(profiles, "profiles")
-        totals = profiles.groupBy("lang").agg(F.sum("n").alias("n")).limit(max_languages + 1).collect()
-        if len(totals) > max_languages:
-            raise ValueError(f"more than {max_languages} languages in the profile table")
-        self.languages = sorted(row["lang"] for row in totals)
         n_grams = profiles.select("gram").distinct().count()
-        sizes = {row["lang"]: row["n"] + smoothing * n_grams for row in totals}
-        self.missing = {lang: math.log(smoothing / sizes[lang]) for lang in self.languages}
-        wide = profiles.groupBy("gram").agg(
-            *[
-                F.log(
-                    (F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)) + smoothing) / sizes[lang]
-                ).alias(f"lp{i}")
-                for i, lang in enumerate(self.languages)
-            ]
-        )
-        self.table = materialize(wide, "language_model")
+        sizes = profiles.groupBy("lang").agg((F.sum("n") + F.lit(smoothing * n_grams)).alias("size"))
+        languages = sizes.select("lang", F.log(F.lit(smoothing) / F.col("size")).alias("missing"))
+        self.languages = materialize(languages, "languages")
+        # Of the languages that know none of a text's grams only this one can win.
+        self.likeliest = self.languages.orderBy(F.desc(F.round("missing", 12)), "lang").first()
+        gain = F.log((F.col("n") + smoothing) / F.lit(smoothing))
+        self.table = materialize(profiles.select("gram", "lang", gain.alias("gain")), "language_model")
 
     def detect(self, df: DataFrame, id_col: str, text_col: str, out: str = "detected_lang") -> DataFrame:
         """(id, detected_lang).  Under ten characters or without letters: unknown.
 
-        Grams of one text are summed where they are made (map-side), so the
-        shuffle moves one row per text.
+        Letters move once, by id; grams are counted and their gains summed where the
+        text is. The largest score wins, between equal scores the first language by
+        name.
         """
         texts = df.select(id_col, F.col(text_col).alias("__text"))
         long_enough = F.length(F.trim("__text")) >= MIN_CHARS
-        grams = _gram_rows(texts.filter(long_enough), "__text", id_col)
-        joined = grams.join(self.table, "gram", "left")
-        scores = joined.groupBy(id_col).agg(
-            *[
-                F.sum(F.coalesce(F.col(f"lp{i}"), F.lit(self.missing[lang]))).alias(f"lp{i}")
-                for i, lang in enumerate(self.languages)
-            ]
-        )
-        # Largest score wins; between equal scores the first language by name.
-        ranked = F.array_sort(
-            F.array(
-                *[
-                    F.struct((-F.round(f"lp{i}", 6)).alias("cost"), F.lit(lang).alias("lang"))
-                    for i, lang in enumerate(self.languages)
-                ]
-            )
-        )
-        detected = scores.select(id_col, ranked[0]["lang"].alias("__lang"))
+        lettered = _lettered(texts.filter(long_enough), "__text", id_col)
+        grams = _gram_rows(lettered.repartition(F.col(id_col)), id_col, "__n")
+        counted = grams.groupBy(id_col, "__n", "gram").agg(F.count(F.lit(1)).alias("times"))
+        gains = counted.join(self.table, "gram").groupBy(id_col, "__n", "lang").agg(F.sum(F.col("times") * F.col("gain")).alias("gain"))
+        rated = gains.join(self.languages, "lang").select(id_col, "__n", "lang", "missing", "gain")
+        if self.likeliest is not None:
+            fallback = [F.lit(self.likeliest["lang"]).alias("lang"), F.lit(self.likeliest["missing"]).alias("missing"), F.lit(0.0).alias("gain")]
+            rated = rated.unionByName(lettered.select(id_col, "__n", *fallback))
+        score = F.round(F.col("__n") * F.col("missing") + F.col("gain"), 6)
+        best = rated.groupBy(id_col).agg(F.min(F.struct((-score).alias("cost"), "lang")).alias("best"))
+        detected = best.select(id_col, F.col("best.lang").alias("__lang"))
         return texts.select(id_col).join(detected, id_col, "left").select(
             id_col, F.coalesce("__lang", F.lit(UNKNOWN)).alias(out)
         )

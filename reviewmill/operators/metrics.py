@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.config import SENTIMENTS
-from reviewmill.session import literal_table
+from reviewmill.session import literal_table, materialize
 
 
 def confusion_long(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
@@ -60,7 +60,8 @@ def overall_scores(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
 
 def classification_report(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
     """Scores per class, then accuracy, macro and support-weighted averages."""
-    classes = _per_class(df, true_col, pred_col)
+    # One row per label: stored, so the labelled rows behind it are read once for both parts.
+    classes = materialize(_per_class(df, true_col, pred_col), "per_class")
     measures = ("precision", "recall", "f1")
     totals = classes.agg(
         F.sum("support").alias("support"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.config import SENTIMENTS, STARTER_BOOSTERS, STARTER_LEXICON, STARTER_NEGATORS
-from reviewmill.session import literal_table, lookup, materialize
+from reviewmill.session import exploded, literal_table, lookup, materialize
 
 # Constants of the published method (fixed values).
 NEGATED = -0.74
@@ -72,13 +72,14 @@ def starter_lexicon() -> Lexicon:
 def _hits(df: DataFrame, id_col: str, tokens_col: str, scoring: DataFrame) -> DataFrame:
     """One row per scoring token with the tokens around it.
 
-    The array stays beside its exploded words, so neighbours are only looked up
-    for the few words that met the lexicon.
+    A token carries its five neighbours, not its text, so the rows stay small
+    whichever way the lexicon is joined.
     """
-    words = df.select(id_col, F.col(tokens_col).alias("__t"), F.posexplode(tokens_col).alias("__i", "w0"))
     offsets = {"p1": -1, "p2": -2, "p3": -3, "n1": 1, "n2": 2}
-    around = [F.get(F.col("__t"), F.col("__i") + step).alias(name) for name, step in offsets.items()]
-    return words.join(scoring, "w0").select(id_col, "w0", "v", *around)
+    token = F.col(tokens_col)
+    around = F.transform(token, lambda w, i: F.struct(w.alias("w0"), *[F.get(token, i + step).alias(name) for name, step in offsets.items()]))
+    words = exploded(df, around, "__w", id_col).select(id_col, "__w.*")
+    return words.join(scoring, "w0").select(id_col, "w0", "v", *offsets)
 
 
 def _boosted(value: Column, step: int) -> Column:

@@ -41,13 +41,13 @@ def value_share(df: DataFrame, by: str, value: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(by)))
 
 
-def box_stats(df: DataFrame, value_col: str, by: str, decimals: int = 4) -> DataFrame:
+def box_stats(df: DataFrame, value_col: str, by: str) -> DataFrame:
     """Box-plot numbers per group: quartiles, whiskers, outliers.
 
-    Values are counted per distinct rounded value first, so the exact percentiles
-    and the fences come from a histogram instead of from all rows.
+    Equal values are counted first, so the exact percentiles and the fences come
+    from a histogram instead of from all rows.
     """
-    value = F.round(F.col(value_col), decimals)
+    value = F.col(value_col)
     bars = df.select(F.col(by), value.alias("v")).groupBy(by, "v").agg(F.count(F.lit(1)).alias("n"))
     quartiles = bars.groupBy(by).agg(
         F.sum("n").alias("n_rows"),

@@ -1,6 +1,6 @@
 """How the operators are set up on the given tables.
 
-``documents`` and the user turns of ``conversations`` stand for the review tables
+``documents`` and the turns of ``conversations`` stand for the review tables
 of two platforms; ``labels`` for the hand-made labels.
 """
 
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from reviewmill.config import THREADS_LABELS, TWITTER_LABELS, PlatformConfig
 from reviewmill.operators.sentiment import Lexicon
-from reviewmill.session import spread
 
 # Lookups that fit the invented prose of the tables (fixed values).
 BRANDS = (("th", "the"), ("nd", "and"), ("und", "and"), ("nt", "not"))
@@ -55,16 +54,15 @@ def lexicon() -> Lexicon:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
 
 
 def human_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +80,6 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_with_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have a vector, with its label as topic; label 9 stands for outliers."""
-    vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("doc_id"),
-        "embedding",
-        F.when(F.col("label") == 9, -1).otherwise(F.col("label")).cast("int").alias("topic"),
-    )
-    return documents(spark, sf_dir).join(vectors, "doc_id")
+    """Every document, with the last digit of its source's number as topic; 9 stands for outliers."""
+    digit = F.right(F.col("source"), F.lit(1)).cast("int")
+    return documents(spark, sf_dir).withColumn("topic", F.when(digit == 9, -1).otherwise(digit))

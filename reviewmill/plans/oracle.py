@@ -156,7 +156,7 @@ BASE = ",\n".join(
         _kmeans("km", "score"),
         _labelled("sent", "score", "km"),
         # the second platform
-        "turns AS (SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations WHERE role = 'user')",
+        "turns AS (SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations)",
         f"""turns_first AS (
   SELECT turn_id, text FROM (SELECT *, {_LONG} AS is_long, row_number() OVER (PARTITION BY text ORDER BY turn_id) AS rn FROM turns)
   WHERE NOT is_long OR rn = 1)""",
@@ -221,7 +221,7 @@ BASE = ",\n".join(
         """dict AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY df DESC, term) - 1 AS term_id, term, df
   FROM (SELECT w AS term, count(DISTINCT doc_id) AS df FROM all_w GROUP BY 1)
-  WHERE df >= 10 AND df <= floor(0.5 * (SELECT n FROM dict_n)) ORDER BY df DESC, term LIMIT 100000)""",
+  WHERE df >= 10 AND df <= floor(0.5 * (SELECT n FROM dict_n)))""",
         # phrases over the kept documents
         """tm_w AS MATERIALIZED (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS pos, w
@@ -236,9 +236,21 @@ BASE = ",\n".join(
         """phr AS MATERIALIZED (
   SELECT a, b, p.n, (p.n - 10)::DOUBLE / x.n / y.n * (SELECT v FROM tm_size) AS score
   FROM tm_2 p JOIN tm_1 x ON x.w = a JOIN tm_1 y ON y.w = b WHERE (p.n - 10)::DOUBLE / x.n / y.n * (SELECT v FROM tm_size) > 10)""",
-        # documents with a vector and a topic
-        """vec AS (SELECT vec_id AS doc_id, embedding, CASE WHEN label = 9 THEN -1 ELSE label END AS topic FROM embeddings)""",
-        "topic_docs AS (SELECT d.doc_id, d.text, v.embedding, v.topic FROM documents d JOIN vec v USING (doc_id))",
+        # documents with a topic; vectors are TF-IDF sums over the bits of the terms' MD5
+        "topic_docs AS (SELECT doc_id, text, CASE WHEN right(source, 1) = '9' THEN -1 ELSE right(source, 1)::INTEGER END AS topic FROM documents)",
+        """term_idf AS (
+  SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM all_tc GROUP BY 1)""",
+        """term_w AS MATERIALIZED (
+  SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight
+  FROM (SELECT doc_id, term, tf * idf AS w FROM all_tc JOIN term_idf USING (term)))""",
+        """term_bits AS MATERIALIZED (
+  SELECT term, i AS dimension, 1 - 2 * ((('0x' || substr(md5(term), 1 + i // 4, 1))::INTEGER >> (i % 4)) & 1) AS sign
+  FROM (SELECT term, unnest(generate_series(0, 15)) AS i FROM term_idf))""",
+        """doc_vec AS MATERIALIZED (
+  SELECT d.doc_id, d.dimension, coalesce(v.value, 0) AS value
+  FROM (SELECT doc_id, unnest(generate_series(0, 15)) AS dimension FROM documents) d
+  LEFT JOIN (SELECT doc_id, dimension, sum(weight * sign) AS value FROM term_w JOIN term_bits USING (term) GROUP BY 1, 2) v
+    ON v.doc_id = d.doc_id AND v.dimension = d.dimension)""",
         "topic_tc AS MATERIALIZED (SELECT topic, w AS term, count(*) AS n FROM all_w JOIN topic_docs USING (doc_id) GROUP BY 1, 2)",
     )
 )
@@ -328,8 +340,9 @@ SELECT position, stage, n_before, n_after, n_before - n_after AS n_removed FROM
     "raw_duplicates": "SELECT doc_id, text, n_copies FROM (SELECT doc_id, text, count(*) OVER (PARTITION BY text) AS n_copies FROM documents) WHERE n_copies > 1",
     "long_duplicates": f"SELECT doc_id, text, n_copies FROM (SELECT doc_id, text, count(*) OVER (PARTITION BY text) AS n_copies FROM documents WHERE {_LONG}) WHERE n_copies > 1",
     "duplicate_groups": f"""
-SELECT text, doc_id // 1000000 AS piece, count(*) AS n_copies, string_agg(doc_id, ',' ORDER BY doc_id) AS row_numbers
-FROM documents WHERE {_LONG} GROUP BY 1, 2 HAVING count(*) > 1""",
+SELECT group_id, doc_id, n_copies FROM (
+  SELECT min(doc_id) OVER t AS group_id, doc_id, count(*) OVER t AS n_copies FROM documents WHERE {_LONG} WINDOW t AS (PARTITION BY text))
+WHERE n_copies > 1""",
     "dedup_long": _q("SELECT doc_id, text FROM marked WHERE is_long AND NOT is_repeat"),
     "dedup_reviews": _q("SELECT doc_id, text FROM marked WHERE NOT is_repeat"),
     "normalize_brands": f"SELECT doc_id, {_brands('text')} AS text_out FROM documents",
@@ -523,13 +536,16 @@ FROM cw o LEFT JOIN (SELECT term, weight FROM cw WHERE topic = (SELECT topic FRO
 WHERE o.topic <> (SELECT topic FROM small) GROUP BY o.topic ORDER BY similarity DESC, into LIMIT 1"""
     ).replace(" AS into", ' AS "into"').replace("DESC, into", 'DESC, "into"'),
     "topic_sizes": _q("SELECT topic, count(*) AS n FROM topic_docs GROUP BY 1"),
+    "doc_vectors": _q("SELECT doc_id, dimension::INTEGER AS dimension, round(value, 6) AS value FROM doc_vec"),
     "representative_docs": _q(
-        _CENTRES.format(key="topic", source="topic_docs")
-        + """
+        """
+, centre AS (SELECT topic, list(m ORDER BY dimension) AS m FROM (
+  SELECT topic, dimension, avg(value) AS m FROM doc_vec JOIN topic_docs USING (doc_id) GROUP BY 1, 2) GROUP BY 1)
+, docv AS (SELECT doc_id, list(value ORDER BY dimension) AS v FROM doc_vec GROUP BY 1)
 SELECT topic, rank, doc_id, similarity, substr(text, 1, 200) AS text FROM (
   SELECT topic, doc_id, text, similarity, row_number() OVER (PARTITION BY topic ORDER BY similarity DESC, doc_id)::INTEGER AS rank
-  FROM (SELECT d.topic, doc_id, text, round(list_cosine_similarity(embedding::DOUBLE[], m), 6) AS similarity
-        FROM topic_docs d JOIN centre c ON c.topic = d.topic WHERE d.topic <> -1)) WHERE rank <= 3"""
+  FROM (SELECT d.topic, doc_id, text, CASE WHEN list_sum(list_transform(v, lambda x: x * x)) = 0 THEN 0 ELSE round(list_cosine_similarity(v, m), 6) END AS similarity
+        FROM topic_docs d JOIN docv USING (doc_id) JOIN centre c ON c.topic = d.topic WHERE d.topic <> -1)) WHERE rank <= 3"""
     ),
     "topic_membership": _q(
         _CENTRES.format(key="label", source="embeddings")

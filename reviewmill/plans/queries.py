@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.functions import text as tx
 from reviewmill.operators import classify, coherence, dedup, embedding_topics, features, labels, language, lemma
+from reviewmill.operators import doc_vectors as doc_vecs
 from reviewmill.operators import lda, metrics, nmf, phrases, profile, sentiment, split, vocab, words
 from reviewmill.plans import fixtures as fx
 from reviewmill.plans import reviews
@@ -71,7 +72,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def both_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talk = materialize(reviews.clean_reviews(fx.user_turns(spark, sf_dir), TALK).drop("text"), "cleaned_talk")
+    talk = materialize(reviews.clean_reviews(fx.turns(spark, sf_dir), TALK).drop("text"), "cleaned_talk")
     return reviews.combine_platforms(
         [(DOC, scored(spark, sf_dir)), (TALK, reviews.score_reviews(talk, TALK, fx.lexicon()))]
     )
@@ -156,8 +157,7 @@ def long_duplicates(spark, sf_dir):
 
 @query
 def duplicate_groups(spark, sf_dir):
-    groups = dedup.duplicate_groups(fx.documents(spark, sf_dir).select("doc_id", "text"), "text", "doc_id")
-    return groups.withColumn("row_numbers", F.array_join(F.transform("row_numbers", lambda i: i.cast("string")), ","))
+    return dedup.duplicate_groups(fx.documents(spark, sf_dir), "text", "doc_id")
 
 
 @query
@@ -434,7 +434,7 @@ def _parts(spark, sf_dir, label: str = "sentiment") -> tuple[DataFrame, DataFram
 @query
 def logreg_predictions(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
-    return classify.TfidfLogistic(_classifier_tfidf(), "sentiment", max_iter=200).fit(train).predict(test, keep=("sentiment",))
+    return classify.TfidfLogistic(_classifier_tfidf(), "sentiment").fit(train).predict(test, keep=("sentiment",))
 
 
 @query
@@ -443,8 +443,8 @@ def mlp_predictions(spark, sf_dir):
     raw = fx.documents(spark, sf_dir).select("doc_id", "text")
     rows = materialize(scored(spark, sf_dir).select("doc_id", "sentiment").join(raw, "doc_id"), "raw_text")
     parts = split.stratified_split(rows, "doc_id", "sentiment")
-    model, names = classify.fit_text_network(parts.filter("part = 'train'"), "text", "sentiment")
-    return classify.predict_text_network(model, names, parts.filter("part = 'test'"), ("doc_id", "sentiment"))
+    model = classify.TextNetwork("doc_id", "text", "sentiment").fit(parts.filter("part = 'train'"))
+    return model.predict(parts.filter("part = 'test'"), keep=("sentiment",))
 
 
 @query
@@ -453,7 +453,7 @@ def tune_logreg(spark, sf_dir):
     vectors = _classifier_tfidf().fit(train).vectors(train, keep=("sentiment",))
     indexed, _ = classify.index_labels(vectors, "sentiment")
     stored = materialize(indexed.select("features", "label"), "tuning")
-    model, trials = classify.tune_logistic(stored, "label", n_trials=4, max_iter=20)
+    model, trials = classify.tune_logistic(stored, "label", n_trials=20)
     return classify.trial_table(model, trials, stored)
 
 
@@ -553,13 +553,14 @@ def nmf_topics(spark, sf_dir):
 def nmf_best_k(spark, sf_dir):
     docs, weights = _nmf_inputs(spark, sf_dir)
     dictionary = vocab.fixed_vocabulary(docs, "topic_tokens")
-    return _sweep_table(spark, nmf.sweep(docs, "doc_id", "topic_tokens", weights, dictionary, range(3, 6), max_iter=8))
+    return _sweep_table(spark, nmf.sweep(docs, "doc_id", "topic_tokens", weights, dictionary))
 
 
 @query
 def doc_vectors(spark, sf_dir):
-    vectors = embedding_topics.document_vectors(tokenised(spark, sf_dir), "doc_id", "tokens", size=16)
-    return vectors.select("doc_id", F.size("vector").alias("dimensions"), F.element_at("vector", 1).alias("first"))
+    """Every document, every dimension."""
+    vectors = doc_vecs.document_vectors(stored_tokens(spark, sf_dir), "doc_id", "tokens", size=16)
+    return rounded(vectors.select("doc_id", F.posexplode("vector").alias("dimension", "value")), "value")
 
 
 @query
@@ -570,9 +571,9 @@ def reduce_vectors(spark, sf_dir):
 
 @query
 def embedding_topic_model(spark, sf_dir):
-    docs = fx.documents_with_topics(spark, sf_dir).select("doc_id", "text", "embedding")
-    ready = materialize(reviews.with_clean_tokens(docs, DOC).select("doc_id", "tokens", "embedding"), "with_vectors")
-    assigned = embedding_topics.embedding_topics(ready, "doc_id", "tokens", "embedding")
+    docs = stored_tokens(spark, sf_dir)
+    ready = materialize(docs.join(doc_vecs.document_vectors(docs, "doc_id", "tokens"), "doc_id"), "with_vectors")
+    assigned = embedding_topics.embedding_topics(ready, "doc_id", "tokens", "vector")
     return assigned.select("doc_id", "topic")
 
 
@@ -599,7 +600,8 @@ def topic_sizes(spark, sf_dir):
 @query
 def representative_docs(spark, sf_dir):
     docs = fx.documents_with_topics(spark, sf_dir)
-    return embedding_topics.representative_docs(docs, "doc_id", "topic", "embedding", "text")
+    vectors = doc_vecs.document_vectors(stored_tokens(spark, sf_dir), "doc_id", "tokens", size=16)
+    return embedding_topics.representative_docs(docs.join(vectors, "doc_id"), "doc_id", "topic", "vector", "text")
 
 
 @query

@@ -43,7 +43,9 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return _LOCAL_FOLDERS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -60,18 +62,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table stored in fewer splits than there are cores.
-
-    A large table has more splits than that and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def compact(df: DataFrame, n_rows: int, rows_per_task: int = 1000) -> DataFrame:
-    """Fewer tasks for an iterative fit on a small table; no effect on a large one."""
-    return df.coalesce(max(1, min(df.rdd.getNumPartitions(), n_rows // rows_per_task)))
+def release(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` returned, once nothing reads it any more."""
+    spark = df.sparkSession
+    root = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if root.split(":", 1)[-1].lstrip("/") in folder:
+            path.getFileSystem(conf).delete(path, True)
 
 
 def with_once(df: DataFrame, **columns: Column) -> DataFrame:

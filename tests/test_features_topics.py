@@ -161,7 +161,7 @@ def blobs(spark):
 
 def test_clusters_below_the_minimum_size_are_outliers(spark):
     rows = blobs(spark)
-    placed = embedding_topics.cluster_vectors(rows, "id", "vector", k=4, min_topic_size=20, outlier_quantile=1.0).join(rows, "id")
+    placed = embedding_topics.cluster_vectors(rows, "id", "vector", k=4, min_topic_size=20, spread=9.0).join(rows, "id")
     by_blob = {b: set() for b in range(4)}
     for r in placed.collect():
         by_blob[r["blob"]].add(r["topic"])
