@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.config import NOUN_ENDINGS
-from reviewmill.session import exploded, materialize
+from reviewmill.functions.text import splice
+from reviewmill.session import materialize
 
 
 def _rewrites(word: Column) -> Column:
@@ -62,23 +63,17 @@ def lemmatize(
     """Replace the token array by its lemmas (default table: the corpus vocabulary).
 
     The rules run once per distinct word.  The resulting map is written out, so
-    its real size decides between broadcast and shuffle when it is applied; only
-    tokens that change are joined and carried back, keyed by the unique id.
+    its real size decides between broadcast and shuffle when it is applied; only the
+    places that change come back to their text, keyed by its unique id.
     ``df`` is read three times: pass a stored table if its tokens are costly.
     """
     words = materialize(df.select(F.explode(tokens_col).alias("word")).distinct(), "words")
     if lemmas is None:
         lemmas = words.select(F.col("word").alias("lemma"))
     changes = materialize(lemma_map(words, lemmas, exceptions), "lemma_map")
-    hits = (
-        exploded(df, F.array_distinct(tokens_col), "word", id_col)
-        .join(changes, "word")
-        .groupBy(id_col)
-        .agg(F.collect_list(F.struct("word", "lemma")).alias("__changes"))
-        .withColumn("__changes", F.map_from_entries("__changes"))
+    places = df.select(id_col, F.posexplode(tokens_col).alias("__at", "word")).join(changes, "word")
+    changed = places.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("__at", "lemma"))).alias("__changes"))
+    out = F.when(F.col("__changes").isNull(), F.col(tokens_col)).otherwise(
+        splice(F.col(tokens_col), F.col("__changes.__at"), F.col("__changes.lemma"), 1)
     )
-    replaced = F.transform(
-        F.col(tokens_col), lambda token: F.coalesce(F.try_element_at(F.col("__changes"), token), token)
-    )
-    out = F.when(F.col("__changes").isNull(), F.col(tokens_col)).otherwise(replaced)
-    return df.join(hits, id_col, "left").withColumn(tokens_col, out).drop("__changes")
+    return df.join(changed, id_col, "left").withColumn(tokens_col, out).drop("__changes")

@@ -134,6 +134,41 @@ _LABEL = "CASE WHEN toxic = 1 THEN 'Negative' WHEN quality = 1 THEN 'positive' W
 _LONG = "length(regexp_extract_all(text, '\\S+')) >= 15"
 _LETTERS = r"' ' || trim(regexp_replace(lower(clean), '[^\p{L}]+', ' ', 'g')) || ' '"
 
+def _noun_candidates() -> str:
+    """Rewrites of word w by each ending rule, as UNION ALL branches with an order."""
+    parts = ["SELECT word, word AS form, 0 AS ord FROM words"]
+    for i, (ending, new) in enumerate(NOUN_ENDINGS, 1):
+        stem = f"left(word, length(word) - {len(ending)})"
+        parts.append(f"SELECT word, {stem} || '{new}', {i} FROM words WHERE word LIKE '%{ending}'")
+    return " UNION ALL ".join(parts)
+
+
+def _grams(name: str, texts: str) -> list[str]:
+    """CTEs up to <name>_grams(doc_id, lang, n_chars, gram)."""
+    return [
+        f"{name}_letters AS MATERIALIZED (SELECT doc_id, lang, length(trim(clean)) AS n_chars, {_LETTERS} AS l FROM {texts})",
+        f"""{name}_letter_rows AS (
+  SELECT doc_id, lang, n_chars, unnest(string_split(l, '')) AS c, generate_subscripts(string_split(l, ''), 1) AS i
+  FROM {name}_letters WHERE trim(l) <> '')""",
+        f"""{name}_grams AS MATERIALIZED (
+  SELECT doc_id, lang, n_chars, gram FROM (
+    SELECT doc_id, lang, n_chars, c || lead(c, 1) OVER k || lead(c, 2) OVER k AS gram FROM {name}_letter_rows WINDOW k AS (PARTITION BY doc_id ORDER BY i))
+  WHERE gram IS NOT NULL)""",
+    ]
+
+
+def _detected(name: str, out: str, table: str = "lang_lp") -> list[str]:
+    """CTE <out>(doc_id, detected_lang) from <name>_grams."""
+    return [
+        f"""{name}_score AS (
+  SELECT g.doc_id, x.lang, sum(g.c * x.lp) AS s
+  FROM (SELECT doc_id, gram, count(*) AS c FROM {name}_grams WHERE n_chars >= 10 GROUP BY 1, 2) g JOIN {table} x USING (gram) GROUP BY 1, 2)""",
+        f"""{name}_best AS (
+  SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 6) DESC, lang) AS rn FROM {name}_score) WHERE rn = 1)""",
+        f"{out} AS (SELECT d.doc_id, coalesce(b.lang, 'unknown') AS detected_lang FROM documents d LEFT JOIN {name}_best b USING (doc_id))",
+    ]
+
+
 BASE = ",\n".join(
     part.strip()
     for part in (
@@ -149,9 +184,36 @@ BASE = ",\n".join(
         """all_t AS (
   SELECT d.doc_id, d.lang, d.text, coalesce(t.clean, '') AS clean
   FROM documents d LEFT JOIN (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS clean FROM all_w GROUP BY 1) t USING (doc_id))""",
-        # kept: de-duplicated, non-empty
-        "kept AS (SELECT m.doc_id, t.clean, m.text FROM marked m JOIN all_t t USING (doc_id) WHERE NOT is_repeat AND trim(t.clean) <> '')",
-        "kept_w AS MATERIALIZED (SELECT doc_id, pos, w FROM all_w WHERE doc_id IN (SELECT doc_id FROM kept))",
+        # language grams of the clean texts; profiles come from the training half
+        *_grams("all", "all_t"),
+        "profile AS MATERIALIZED (SELECT lang, gram, count(*) AS n FROM all_grams WHERE substr(md5(doc_id::VARCHAR), 1, 1) < '8' GROUP BY 1, 2)",
+        """lang_size AS (
+  SELECT lang, sum(n) + 0.5 * (SELECT count(DISTINCT gram) FROM profile) AS size FROM profile GROUP BY 1)""",
+        """lang_lp AS MATERIALIZED (
+  SELECT z.lang, v.gram, ln((coalesce(p.n, 0) + 0.5) / z.size) AS lp
+  FROM (SELECT DISTINCT gram FROM all_grams) v CROSS JOIN lang_size z LEFT JOIN profile p ON p.gram = v.gram AND p.lang = z.lang)""",
+        *_detected("all", "detected"),
+        # lemmas, and the languages of the lemmatised texts
+        "words AS (SELECT DISTINCT w AS word FROM all_w)",
+        f"""lemma_map AS MATERIALIZED (
+  SELECT word, form AS lemma FROM (
+    SELECT *, row_number() OVER (PARTITION BY word ORDER BY length(form), ord) AS rn
+    FROM ({_noun_candidates()}) WHERE form IN (SELECT word FROM words))
+  WHERE rn = 1 AND form <> word)""",
+        "lem_w AS MATERIALIZED (SELECT doc_id, pos, coalesce(lemma, w) AS w FROM all_w LEFT JOIN lemma_map ON word = w)",
+        """lem_t AS (
+  SELECT d.doc_id, d.lang, d.text, coalesce(t.clean, '') AS clean
+  FROM documents d LEFT JOIN (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS clean FROM lem_w GROUP BY 1) t USING (doc_id))""",
+        *_grams("lem", "lem_t"),
+        """lem_lp AS MATERIALIZED (
+  SELECT z.lang, v.gram, ln((coalesce(p.n, 0) + 0.5) / z.size) AS lp
+  FROM (SELECT DISTINCT gram FROM lem_grams) v CROSS JOIN lang_size z LEFT JOIN profile p ON p.gram = v.gram AND p.lang = z.lang)""",
+        *_detected("lem", "lem_detected", "lem_lp"),
+        # kept: de-duplicated, non-empty, in the wanted languages
+        """kept AS MATERIALIZED (
+  SELECT m.doc_id, t.clean, m.text, x.detected_lang FROM marked m JOIN lem_t t USING (doc_id) JOIN lem_detected x USING (doc_id)
+  WHERE NOT is_repeat AND trim(t.clean) <> '' AND detected_lang <> 'es')""",
+        "kept_w AS MATERIALIZED (SELECT doc_id, pos, w FROM lem_w WHERE doc_id IN (SELECT doc_id FROM kept))",
         _compound("score", "kept", "kept_w", "doc_id"),
         _kmeans("km", "score"),
         _labelled("sent", "score", "km"),
@@ -184,27 +246,6 @@ BASE = ",\n".join(
   FROM (SELECT label, count(*) FILTER (t = label AND p = label) AS tp, count(*) FILTER (t = label) AS support,
           count(*) FILTER (p = label) AS predicted
         FROM judged, (SELECT t AS label FROM judged UNION SELECT p FROM judged) GROUP BY label))""",
-        # language grams
-        f"letters AS MATERIALIZED (SELECT doc_id, lang, length(trim(clean)) AS n_chars, {_LETTERS} AS l FROM all_t)",
-        """letter_rows AS (
-  SELECT doc_id, lang, n_chars, unnest(string_split(l, '')) AS c, generate_subscripts(string_split(l, ''), 1) AS i
-  FROM letters WHERE trim(l) <> '')""",
-        """grams AS MATERIALIZED (
-  SELECT doc_id, lang, n_chars, gram FROM (
-    SELECT doc_id, lang, n_chars, c || lead(c, 1) OVER k || lead(c, 2) OVER k AS gram FROM letter_rows WINDOW k AS (PARTITION BY doc_id ORDER BY i))
-  WHERE gram IS NOT NULL)""",
-        "profile AS MATERIALIZED (SELECT lang, gram, count(*) AS n FROM grams GROUP BY 1, 2)",
-        """lang_size AS (
-  SELECT lang, sum(n) + 0.5 * (SELECT count(DISTINCT gram) FROM profile) AS size FROM profile GROUP BY 1)""",
-        """lang_lp AS MATERIALIZED (
-  SELECT z.lang, v.gram, ln((coalesce(p.n, 0) + 0.5) / z.size) AS lp
-  FROM (SELECT DISTINCT gram FROM profile) v CROSS JOIN lang_size z LEFT JOIN profile p ON p.gram = v.gram AND p.lang = z.lang)""",
-        """lang_score AS (
-  SELECT g.doc_id, x.lang, sum(g.c * x.lp) AS s
-  FROM (SELECT doc_id, gram, count(*) AS c FROM grams WHERE n_chars >= 10 GROUP BY 1, 2) g JOIN lang_lp x USING (gram) GROUP BY 1, 2)""",
-        """lang_best AS (
-  SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 6) DESC, lang) AS rn FROM lang_score) WHERE rn = 1)""",
-        "detected AS (SELECT d.doc_id, coalesce(b.lang, 'unknown') AS detected_lang FROM documents d LEFT JOIN lang_best b USING (doc_id))",
         # term statistics
         "all_tc AS MATERIALIZED (SELECT doc_id, w AS term, count(*) AS tf FROM all_w WHERE length(w) >= 2 GROUP BY 1, 2)",
         """feat_w AS (
@@ -282,23 +323,6 @@ def _with_split(sql: str, rows: str, id_col: str, label: str) -> str:
     return f"WITH RECURSIVE {BASE}{_split(rows, id_col, label)}\n{sql}"
 
 
-def _noun_candidates() -> str:
-    """Rewrites of word w by each ending rule, as UNION ALL branches with an order."""
-    parts = ["SELECT word, word AS form, 0 AS ord FROM words"]
-    for i, (ending, new) in enumerate(NOUN_ENDINGS, 1):
-        stem = f"left(word, length(word) - {len(ending)})"
-        parts.append(f"SELECT word, {stem} || '{new}', {i} FROM words WHERE word LIKE '%{ending}'")
-    return " UNION ALL ".join(parts)
-
-
-_LEMMAS = f"""
-, words AS (SELECT DISTINCT w AS word FROM all_w)
-, lemma_map AS (
-  SELECT word, form AS lemma FROM (
-    SELECT *, row_number() OVER (PARTITION BY word ORDER BY length(form), ord) AS rn
-    FROM ({_noun_candidates()}) WHERE form IN (SELECT word FROM words))
-  WHERE rn = 1 AND form <> word)"""
-
 _COLUMNS = (
     ("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"),
     ("sentiment_true", "string"),
@@ -350,10 +374,9 @@ WHERE n_copies > 1""",
     "strip_urls": f"SELECT page_id, {_urls('html')} AS text_out FROM pages",
     "tokenize": f"SELECT doc_id, array_to_string(t, '|') AS tokens, len(t)::INTEGER AS n_tokens FROM (SELECT doc_id, list_filter({_TOKENS}, lambda w: w <> '') AS t FROM documents)",
     "remove_stopwords": f"SELECT doc_id, array_to_string(list_filter({_TOKENS}, lambda w: w <> '' AND w NOT IN ({_strings(fx.STOP_WORDS)})), '|') AS tokens FROM documents",
-    "lemmatize_tokens": f"WITH RECURSIVE {BASE}{_LEMMAS} SELECT word, lemma FROM lemma_map",
-    "clean_text": f"""WITH RECURSIVE {BASE}{_LEMMAS}
-SELECT d.doc_id, coalesce(t.c, '') AS review_cleaned FROM documents d LEFT JOIN (
-  SELECT doc_id, string_agg(coalesce(lemma, w), ' ' ORDER BY pos) AS c FROM all_w LEFT JOIN lemma_map ON word = w GROUP BY 1) t USING (doc_id)""",
+    "lemmatize_tokens": _q("SELECT word, lemma FROM lemma_map"),
+    "clean_text": _q("SELECT doc_id, clean AS review_cleaned FROM lem_t"),
+    "clean_reviews": _q("SELECT doc_id, clean AS review_cleaned, detected_lang FROM kept"),
     "drop_empty": _q("SELECT doc_id FROM all_t WHERE trim(clean) <> ''"),
     "topic_tokens": f"""
 SELECT doc_id, array_to_string(t, '|') AS tokens, len(t)::INTEGER AS n_tokens FROM (

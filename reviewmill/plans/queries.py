@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.functions import text as tx
@@ -40,25 +40,42 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 # --- shared inputs ----------------------------------------------------------
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared_table(make: Query) -> Query:
+    """The stored result of ``make``, made once per application and input folder."""
+
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+        if key not in _STORED:
+            _STORED[key] = materialize(make(spark, sf_dir), make.__name__)
+        return _STORED[key]
+
+    return get
+
+
+@shared_table
 def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its clean tokens."""
     return reviews.with_clean_tokens(fx.documents(spark, sf_dir), DOC).select("doc_id", "lang", "tokens")
 
 
 def stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, stored, for queries that read it more than once."""
-    return materialize(tokenised(spark, sf_dir).select("doc_id", "tokens"), "tokens")
+    return tokenised(spark, sf_dir).select("doc_id", "tokens")
 
 
+@shared_table
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """De-duplicated, cleaned, non-empty documents."""
-    kept = reviews.clean_reviews(fx.documents(spark, sf_dir), DOC)
-    return kept.select("doc_id", "text", "tokens", "review_cleaned")
+    """De-duplicated, cleaned, lemmatised, non-empty documents in the wanted languages: what all later steps read."""
+    model = language_model(clean_texts(spark, sf_dir))
+    docs = fx.documents(spark, sf_dir).select("doc_id", "text")
+    return reviews.clean_reviews(docs, DOC, model, use_lemmas=True, with_text=False)
 
 
+@shared_table
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = materialize(cleaned(spark, sf_dir).drop("text"), "cleaned")
-    return reviews.score_reviews(stored, DOC, fx.lexicon())
+    return reviews.score_reviews(cleaned(spark, sf_dir), DOC, fx.lexicon())
 
 
 def scored_and_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,28 +89,32 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def both_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talk = materialize(reviews.clean_reviews(fx.turns(spark, sf_dir), TALK).drop("text"), "cleaned_talk")
+    talk = materialize(reviews.clean_reviews(fx.turns(spark, sf_dir), TALK, with_text=False), "cleaned_talk")
     return reviews.combine_platforms(
         [(DOC, scored(spark, sf_dir)), (TALK, reviews.score_reviews(talk, TALK, fx.lexicon()))]
     )
 
 
+def training_part() -> Column:
+    """Half of the documents, by a hash of the id: language profiles are trained on these only."""
+    return F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8"
+
+
 def language_model(labelled: DataFrame) -> language.LanguageModel:
-    """Profiles trained on (lang, clean) rows."""
-    return language.LanguageModel(language.language_profiles(labelled, "clean", "lang"))
+    """Profiles trained on the training part of (doc_id, lang, clean) rows."""
+    return language.LanguageModel(language.language_profiles(labelled.filter(training_part()), "clean", "lang"))
 
 
 def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, clean) of every document, stored: training and scoring both read it."""
-    texts = tokenised(spark, sf_dir).select("doc_id", "lang", F.array_join("tokens", " ").alias("clean"))
-    return materialize(texts, "clean_texts")
+    """(doc_id, lang, clean) of every document."""
+    return tokenised(spark, sf_dir).select("doc_id", "lang", F.array_join("tokens", " ").alias("clean"))
 
 
+@shared_table
 def topic_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned documents with merged phrases, stored once for all fits."""
     texts = cleaned(spark, sf_dir).select("doc_id", "review_cleaned")
-    prepared = phrases.topic_model_tokens(texts, "doc_id", "review_cleaned", out="topic_tokens")
-    return materialize(prepared.select("doc_id", "topic_tokens"), "topic_inputs")
+    return phrases.topic_model_tokens(texts, "doc_id", "review_cleaned", out="topic_tokens").select("doc_id", "topic_tokens")
 
 
 # --- sources and profiling --------------------------------------------------
@@ -137,6 +158,12 @@ def stage_counts(spark, sf_dir):
     return reviews.cleaning_audit(fx.documents(spark, sf_dir), DOC, language_model(clean_texts(spark, sf_dir)))
 
 
+@query
+def clean_reviews(spark, sf_dir):
+    """The cleaned table: every filter and cleaning step of the documents."""
+    return cleaned(spark, sf_dir).select("doc_id", "review_cleaned", "detected_lang")
+
+
 # --- duplicates -------------------------------------------------------------
 
 
@@ -231,8 +258,7 @@ def topic_tokens(spark, sf_dir):
 
 @query
 def language_profiles(spark, sf_dir):
-    labelled = tokenised(spark, sf_dir).withColumn("clean", F.array_join("tokens", " "))
-    return language.language_profiles(labelled, "clean", "lang")
+    return language.language_profiles(clean_texts(spark, sf_dir).filter(training_part()), "clean", "lang")
 
 
 def _detected(spark, sf_dir) -> DataFrame:
@@ -480,9 +506,7 @@ def phrase_scores(spark, sf_dir):
 
 @query
 def merge_phrases(spark, sf_dir):
-    texts = cleaned(spark, sf_dir).select("doc_id", "review_cleaned")
-    prepared = phrases.topic_model_tokens(texts, "doc_id", "review_cleaned", out="topic_tokens")
-    return prepared.select("doc_id", F.array_join("topic_tokens", " ").alias("merged"))
+    return topic_inputs(spark, sf_dir).select("doc_id", F.array_join("topic_tokens", " ").alias("merged"))
 
 
 @query
@@ -578,7 +602,7 @@ def embedding_topic_model(spark, sf_dir):
 
 
 def _topic_term_counts(spark, sf_dir) -> DataFrame:
-    docs = reviews.with_clean_tokens(fx.documents_with_topics(spark, sf_dir), DOC)
+    docs = fx.documents_with_topics(spark, sf_dir).select("doc_id", "topic").join(stored_tokens(spark, sf_dir), "doc_id")
     return materialize(embedding_topics.class_term_counts(docs, "topic", "tokens"), "class_counts")
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.config import PlatformConfig
-from reviewmill.functions.text import clean_text, clean_tokens, is_blank
-from reviewmill.operators.dedup import mark_repeats
+from reviewmill.functions.text import clean_tokens, has_min_words, is_blank
+from reviewmill.operators.dedup import text_key
 from reviewmill.operators.labels import standardize_labels
 from reviewmill.operators.language import LanguageModel
 from reviewmill.operators.lemma import lemmatize
@@ -31,28 +31,28 @@ def marked_reviews(
     lemmas: DataFrame | None = None,
     use_lemmas: bool = False,
 ) -> DataFrame:
-    """Every input row with its cleaned form and the flags of each filter.
+    """(id, is_long, is_repeat, tokens, review_cleaned[, detected_lang]) of every input row.
 
-    Adds is_long, is_repeat, tokens, review_cleaned and, with a language model,
-    detected_lang.  Filtering on the flags gives the cleaned table; counting them
-    gives the stage audit; neither needs the other's pass.  First ids, lemmas and
-    languages are found from the raw rows and meet the table on its id, so whole
-    texts are shuffled once.
+    One narrow pass over the texts makes digest, length flag and tokens and is stored;
+    first ids, lemmas and languages are found from it and meet it on the id. Filtering
+    on the flags gives the cleaned table, counting them the stage audit.
     """
-    marked = mark_repeats(df, config.text_col, config.id_col, config.min_words)
+    key = config.id_col
+    text = F.col(config.text_col)
+    narrow = df.select(key, text_key(text).alias("__key"), has_min_words(text, config.min_words).alias("is_long"), config.text_col)
+    narrow = with_clean_tokens(narrow, config).drop(config.text_col)
+    stored = materialize(narrow, "narrow")
+    first = stored.filter("is_long").groupBy("__key").agg(F.min(key).alias(key)).select(key, F.lit(True).alias("__first"))
+    marked = stored.drop("__key").join(first, key, "left")
+    marked = marked.withColumn("is_repeat", F.col("is_long") & F.col("__first").isNull()).drop("__first")
+    tokens = stored.select(key, "tokens")
     if use_lemmas:
-        plain = with_clean_tokens(df.select(config.id_col, config.text_col), config)
-        stored = materialize(plain.select(config.id_col, "tokens"), "tokens")
-        lemmatized = materialize(lemmatize(stored, config.id_col, "tokens", lemmas), "lemmas")
-        marked = marked.join(lemmatized, config.id_col)
-        texts = lemmatized.select(config.id_col, F.array_join("tokens", " ").alias("review_cleaned"))
-    else:
-        marked = with_clean_tokens(marked, config)
-        raw = df.select(config.id_col, config.text_col)
-        texts = with_once(raw, review_cleaned=clean_text(F.col(config.text_col), config))
+        tokens = materialize(lemmatize(tokens, key, "tokens", lemmas), "lemmas")
+        marked = marked.drop("tokens").join(tokens, key)
     marked = marked.withColumn("review_cleaned", F.array_join("tokens", " "))
     if languages is not None:
-        marked = marked.join(languages.detect(texts, config.id_col, "review_cleaned"), config.id_col)
+        texts = tokens.select(key, F.array_join("tokens", " ").alias("review_cleaned"))
+        marked = marked.join(languages.detect(texts, key, "review_cleaned"), key)
     return marked
 
 
@@ -69,12 +69,19 @@ def clean_reviews(
     languages: LanguageModel | None = None,
     lemmas: DataFrame | None = None,
     use_lemmas: bool = False,
+    with_text: bool = True,
 ) -> DataFrame:
-    """De-duplicated, cleaned, non-empty reviews in the wanted languages."""
+    """De-duplicated, cleaned, non-empty reviews in the wanted languages.
+
+    Adds tokens, review_cleaned and, with a language model, detected_lang to the
+    columns of ``df``, without the raw text unless ``with_text``.
+    """
     marked = marked_reviews(df, config, languages, lemmas, use_lemmas)
     for _, keep in _keepers(marked, config):
         marked = marked.filter(keep)
-    return marked.drop("is_long", "is_repeat")
+    kept = marked.drop("is_long", "is_repeat")
+    again = df.columns if with_text else [c for c in df.columns if c != config.text_col]
+    return kept if again == [config.id_col] else df.select(*again).join(kept, config.id_col)
 
 
 def cleaning_audit(df: DataFrame, config: PlatformConfig, languages: LanguageModel | None = None) -> DataFrame:
