@@ -216,6 +216,41 @@ def topic_membership(
     )
 
 
+def reassign(df: DataFrame, id_col: str, vector_col: str, topic_col: str = "topic") -> DataFrame:
+    """Give every row, outliers too, the topic whose mean vector is nearest; ties go to the smaller topic.
+
+    The means of a clustering's topics are one array of the plan, so rows stay where
+    they are. Without any topic the rows keep what they have.
+    """
+    means = centroids(df.filter(F.col(topic_col) != OUTLIER), topic_col, vector_col)
+    if not means:
+        return df
+    vector = doubles(F.col(vector_col))
+    near = [F.struct(F.round(distance(vector, literal_vector(mean)), 6).alias("d"), F.lit(topic).alias("t")) for topic, mean in sorted(means.items())]
+    return df.withColumn(topic_col, F.array_min(F.array(*near))["t"].cast("int"))
+
+
+def topic_report(
+    df: DataFrame, id_col: str, tokens_col: str, vector_col: str, words: int = 10, **settings: object
+) -> DataFrame:
+    """(topic, rank, term, weight, n_docs, share, coherence): the pipeline from vectors to described topics.
+
+    Vectors are reduced and clustered, small topics merged, rows assigned anew to the
+    topics left; each topic then gets its words, its size and mean membership, and the
+    coherence of its words.
+    """
+    from reviewmill.operators.coherence import topic_coherence
+
+    assigned = materialize(reassign(embedding_topics(df, id_col, tokens_col, vector_col, **settings), id_col, vector_col), "assigned")
+    counts = materialize(class_term_counts(assigned.filter(F.col("topic") != OUTLIER), "topic", tokens_col), "class_counts")
+    described = materialize(class_tfidf_words(counts, words), "topic_words")
+    scores = topic_coherence(assigned, id_col, tokens_col, described.select("topic", F.col("term").alias("word")))
+    means = centroids(assigned.filter(F.col("topic") != OUTLIER), "topic", vector_col)
+    member = topic_membership(assigned, id_col, vector_col, means).join(assigned.select(id_col, "topic"), [id_col, "topic"])
+    sizes = member.groupBy("topic").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("probability").alias("share"))
+    return described.join(sizes, "topic").join(scores, "topic")
+
+
 def embedding_topics(
     df: DataFrame,
     id_col: str,

@@ -335,6 +335,24 @@ _CENTRES = """
 , dims AS (SELECT {key} AS topic, i, avg(x) AS m FROM (SELECT {key}, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS x FROM {source}) GROUP BY 1, 2)
 , centre AS (SELECT topic, list(m ORDER BY i) AS m FROM dims GROUP BY 1)"""
 
+_COHERENCE = """
+, sizes AS (SELECT doc_id, count(*) AS n FROM all_w GROUP BY 1)
+, occ AS (SELECT doc_id, w, pos, n FROM all_w JOIN sizes USING (doc_id) WHERE w IN (SELECT word FROM topics))
+, total AS (SELECT sum(greatest(n - 109, 1))::DOUBLE AS t FROM (SELECT DISTINCT doc_id, n FROM occ))
+, wins AS (SELECT DISTINCT doc_id, w, unnest(range(greatest(pos - 109, 0), greatest(least(pos, n - 110), 0) + 1)) AS s FROM occ)
+, single AS (SELECT w, count(*) / (SELECT t FROM total) AS p FROM wins GROUP BY 1)
+, pairs AS (SELECT x.w AS a, y.w AS b, count(*) / (SELECT t FROM total) AS p FROM wins x JOIN wins y ON x.doc_id = y.doc_id AND x.s = y.s GROUP BY 1, 2)
+, cells AS (
+  SELECT i.topic, i.word AS w, j.word AS v,
+    CASE WHEN si.p IS NULL OR sj.p IS NULL THEN 0.0 ELSE ln((coalesce(q.p, 0) + 1e-12) / (si.p * sj.p)) / -ln(coalesce(q.p, 0) + 1e-12) END AS m
+  FROM topics i JOIN topics j USING (topic) LEFT JOIN single si ON si.w = i.word LEFT JOIN single sj ON sj.w = j.word
+  LEFT JOIN pairs q ON q.a = i.word AND q.b = j.word)
+, sums AS (SELECT topic, v, sum(m) AS total FROM cells GROUP BY 1, 2)
+, cosines AS (
+  SELECT topic, w, coalesce(sum(m * total) / nullif(sqrt(sum(m * m)) * sqrt(sum(total * total)), 0), 0) AS c
+  FROM cells JOIN sums USING (topic, v) GROUP BY 1, 2)
+SELECT topic, round(avg(c), 6) AS coherence FROM cosines GROUP BY 1"""
+
 ORACLE: dict[str, str] = {
     "scan_reviews": "SELECT doc_id, source, text FROM documents",
     "head_rows": "SELECT doc_id, source, text FROM documents ORDER BY doc_id LIMIT 5",
@@ -452,6 +470,13 @@ SELECT count(*) FILTER (sentiment_true IN ('Negative', 'Neutral')) AS n_labelled
         "SELECT doc_id, sentiment_true_clean, part FROM parts",
         "SELECT doc_id, label AS sentiment_true_clean FROM gold", "doc_id", "sentiment_true_clean",
     ),
+    "split_by_human_label": _with_split(
+        "SELECT doc_id, sentiment_true_clean, part FROM parts",
+        "SELECT doc_id, label AS sentiment_true_clean FROM gold JOIN sent USING (doc_id) WHERE label IS NOT NULL", "doc_id", "sentiment_true_clean",
+    ),
+    "split_by_derived_label": _with_split(
+        "SELECT doc_id, sentiment, part FROM parts", "SELECT doc_id, sentiment FROM sent", "doc_id", "sentiment"
+    ),
     "split_distribution": _with_split(
         "SELECT part, lang, count(*) AS n FROM parts GROUP BY 1, 2", "SELECT doc_id, lang FROM documents", "doc_id", "lang"
     ),
@@ -522,25 +547,20 @@ LEFT JOIN (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS merged FROM merged
     ),
     "vocabulary": _q("SELECT term_id::INTEGER AS term_id, term, df FROM dict"),
     "bag_of_words": _q("SELECT doc_id, w AS term, count(*) AS n FROM all_w WHERE w IN (SELECT term FROM dict) GROUP BY 1, 2"),
-    "topic_coherence": _q(
+    "topic_coherence": _q(f", topics AS (SELECT * FROM (VALUES {_TOPIC_VALUES}) AS t(topic, word))" + _COHERENCE),
+    "embedding_coherence": _q(
         f"""
-, topics AS (SELECT * FROM (VALUES {_TOPIC_VALUES}) AS t(topic, word))
-, sizes AS (SELECT doc_id, count(*) AS n FROM all_w GROUP BY 1)
-, occ AS (SELECT doc_id, w, pos, n FROM all_w JOIN sizes USING (doc_id) WHERE w IN (SELECT word FROM topics))
-, total AS (SELECT sum(greatest(n - 109, 1))::DOUBLE AS t FROM (SELECT DISTINCT doc_id, n FROM occ))
-, wins AS (SELECT DISTINCT doc_id, w, unnest(range(greatest(pos - 109, 0), greatest(least(pos, n - 110), 0) + 1)) AS s FROM occ)
-, single AS (SELECT w, count(*) / (SELECT t FROM total) AS p FROM wins GROUP BY 1)
-, pairs AS (SELECT x.w AS a, y.w AS b, count(*) / (SELECT t FROM total) AS p FROM wins x JOIN wins y ON x.doc_id = y.doc_id AND x.s = y.s GROUP BY 1, 2)
-, cells AS (
-  SELECT i.topic, i.word AS w, j.word AS v,
-    CASE WHEN si.p IS NULL OR sj.p IS NULL THEN 0.0 ELSE ln((coalesce(q.p, 0) + 1e-12) / (si.p * sj.p)) / -ln(coalesce(q.p, 0) + 1e-12) END AS m
-  FROM topics i JOIN topics j USING (topic) LEFT JOIN single si ON si.w = i.word LEFT JOIN single sj ON sj.w = j.word
-  LEFT JOIN pairs q ON q.a = i.word AND q.b = j.word)
-, sums AS (SELECT topic, v, sum(m) AS total FROM cells GROUP BY 1, 2)
-, cosines AS (
-  SELECT topic, w, coalesce(sum(m * total) / nullif(sqrt(sum(m * m)) * sqrt(sum(total * total)), 0), 0) AS c
-  FROM cells JOIN sums USING (topic, v) GROUP BY 1, 2)
-SELECT topic, round(avg(c), 6) AS coherence FROM cosines GROUP BY 1"""
+, topics AS (SELECT topic, term AS word FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 9) DESC, term) AS rank FROM ({_class_tfidf('topic_tc')})) WHERE rank <= 8)"""
+        + _COHERENCE
+    ),
+    "reassign_topics": _q(
+        """
+, centre AS (SELECT topic, list(m ORDER BY dimension) AS m FROM (
+  SELECT topic, dimension, avg(value) AS m FROM doc_vec JOIN topic_docs USING (doc_id) WHERE topic <> -1 GROUP BY 1, 2) GROUP BY 1)
+, docv AS (SELECT doc_id, list(value ORDER BY dimension) AS v FROM doc_vec GROUP BY 1)
+SELECT doc_id, topic::INTEGER AS topic FROM (
+  SELECT doc_id, topic, row_number() OVER (PARTITION BY doc_id ORDER BY round(list_distance(v, m), 6), topic) AS rn FROM docv, centre) WHERE rn = 1"""
     ),
     "class_tfidf_words": _q(
         f"""

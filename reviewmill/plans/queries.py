@@ -383,6 +383,19 @@ def stratified_split(spark, sf_dir):
     return split.stratified_split(gold_rows(spark, sf_dir), "doc_id", "sentiment_true_clean")
 
 
+@query
+def split_by_human_label(spark, sf_dir):
+    """The route of a platform whose hand-labelled rows are split by their label."""
+    parts = reviews.split_reviews(scored_and_labelled(spark, sf_dir), DOC)
+    return parts.select("doc_id", "sentiment_true_clean", "part")
+
+
+@query
+def split_by_derived_label(spark, sf_dir):
+    """The route of a platform whose rows are all split by the derived label."""
+    return reviews.split_reviews(scored(spark, sf_dir), DOC.with_(split_on_gold=False)).select("doc_id", "sentiment", "part")
+
+
 @query
 def split_distribution(spark, sf_dir):
     parts = split.stratified_split(fx.documents(spark, sf_dir).select("doc_id", "lang"), "doc_id", "lang")
@@ -475,12 +488,22 @@ def mlp_predictions(spark, sf_dir):
 
 @query
 def tune_logreg(spark, sf_dir):
+    """Twenty trials; terms, labels and fits come from the inner training part, losses from the other."""
     train, _ = _parts(spark, sf_dir)
-    vectors = _classifier_tfidf().fit(train).vectors(train, keep=("sentiment",))
-    indexed, _ = classify.index_labels(vectors, "sentiment")
-    stored = materialize(indexed.select("features", "label"), "tuning")
-    model, trials = classify.tune_logistic(stored, "label", n_trials=20)
-    return classify.trial_table(model, trials, stored)
+    inner = materialize(split.stratified_split(train.drop("part"), "doc_id", "sentiment", seed=7), "inner_parts")
+    seen, valid = inner.filter("part = 'train'"), inner.filter("part = 'test'")
+    tfidf = _classifier_tfidf().fit(seen)
+    indexed, indexer = classify.index_labels(tfidf.vectors(seen, keep=("sentiment",)), "sentiment")
+    fitting = materialize(indexed.select("features", "label"), "tuning")
+    judging = materialize(indexer.transform(tfidf.vectors(valid, keep=("sentiment",))).select("features", "label"), "judging")
+    return classify.trial_table(classify.tune_logistic(fitting, judging, "label", n_trials=20), fitting)
+
+
+@query
+def logreg_report(spark, sf_dir):
+    """Scores of the classifier's predictions on the test part."""
+    predicted = materialize(logreg_predictions(spark, sf_dir), "predicted")
+    return rounded(metrics.classification_report(predicted, "sentiment", "predicted"), "precision", "recall", "f1")
 
 
 def _linear_scores(batch: pd.DataFrame) -> np.ndarray:
@@ -628,6 +651,31 @@ def representative_docs(spark, sf_dir):
     return embedding_topics.representative_docs(docs.join(vectors, "doc_id"), "doc_id", "topic", "vector", "text")
 
 
+@query
+def embedding_coherence(spark, sf_dir):
+    """Coherence of the best words of topics that come from vectors."""
+    topics = materialize(embedding_topics.class_tfidf_words(_topic_term_counts(spark, sf_dir), 8), "topic_words")
+    topics = topics.select("topic", F.col("term").alias("word"))
+    return rounded(coherence.topic_coherence(stored_tokens(spark, sf_dir), "doc_id", "tokens", topics), "coherence")
+
+
+@query
+def reassign_topics(spark, sf_dir):
+    """Every document, outliers too, to the topic whose mean vector is nearest."""
+    vectors = doc_vecs.document_vectors(stored_tokens(spark, sf_dir), "doc_id", "tokens", size=16)
+    docs = materialize(fx.documents_with_topics(spark, sf_dir).select("doc_id", "topic").join(vectors, "doc_id"), "topic_vectors")
+    return embedding_topics.reassign(docs, "doc_id", "vector").select("doc_id", "topic")
+
+
+@query
+def embedding_topic_report(spark, sf_dir):
+    """The whole pipeline on one sentiment: topics with their words, weights, sizes and coherence."""
+    docs = scored(spark, sf_dir).filter("sentiment = 'positive'").select("doc_id", "tokens")
+    docs = materialize(docs, "positive")
+    ready = materialize(docs.join(doc_vecs.document_vectors(docs, "doc_id", "tokens"), "doc_id"), "with_vectors")
+    return embedding_topics.topic_report(ready, "doc_id", "tokens", "vector")
+
+
 @query
 def topic_membership(spark, sf_dir):
     vectors = fx.table(spark, sf_dir, "embeddings")

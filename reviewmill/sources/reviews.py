@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from reviewmill.session import materialize
 from pyspark.sql import types as T
 
 # Columns of the two review files that any operator looks at.
@@ -44,9 +46,10 @@ def with_review_id(df: DataFrame, id_col: str = "review_id") -> DataFrame:
     """Give rows without a key a unique one that follows file order.
 
     Ids rise within a partition and from one partition to the next, so "first"
-    means first in the file, without sorting or counting anything.
+    means first in the file, without sorting or counting anything. The table is
+    stored with its ids: later plans join on them and must not make them anew.
     """
-    return df.withColumn(id_col, F.monotonically_increasing_id())
+    return materialize(df.withColumn(id_col, F.monotonically_increasing_id()), "with_ids")
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
