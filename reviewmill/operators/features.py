@@ -71,19 +71,29 @@ class Tfidf:
         self.min_df, self.max_df, self.max_features = min_df, max_df, max_features
         self.stop_words = stop_words
         self.vocabulary: DataFrame | None = None
+        self._fitted: tuple[DataFrame | None, DataFrame | None] = (None, None)
 
     def _terms(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         return term_arrays(df, self.id_col, self.tokens_col, self.ngrams, self.stop_words, keep)
 
+    def _counts(self, df: DataFrame) -> DataFrame:
+        """(id, term, tf).  Tokens move once, by id; n-grams are made and counted where they are."""
+        placed = df.select(self.id_col, self.tokens_col).repartition(F.col(self.id_col))
+        terms = exploded(self._terms(placed), F.col("terms"), "term", self.id_col)
+        return terms.groupBy(self.id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+
     def fit(self, df: DataFrame) -> Tfidf:
-        counts = term_counts(self._terms(df), self.id_col)
+        """The counts are stored: the vocabulary and the weights of the same table come from them."""
+        counts = materialize(self._counts(df), "term_counts")
+        self._fitted = (df, counts)
         vocab = tfidf_vocabulary(counts, self.id_col, df.count(), self.min_df, self.max_df, self.max_features)
         self.vocabulary = materialize(vocab, "tfidf_vocabulary")
         return self
 
     def weights(self, df: DataFrame) -> DataFrame:
         """(id, term, tf, weight): tf * idf, scaled to unit length per text."""
-        counts = term_counts(self._terms(df), self.id_col)
+        fitted, stored = self._fitted
+        counts = stored if df is fitted else self._counts(df)
         raw = counts.join(self.vocabulary.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(self.id_col)))
         return raw.select(self.id_col, "term", "tf", (F.col("w") / norm).alias("weight"))
