@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewmill.operators import classify, coherence, embedding_topics, lda, nmf, phrases, vocab
+from reviewmill.operators import classify, coherence, doc_vectors, embedding_topics, lda, nmf, phrases, vocab
 from reviewmill.operators.features import Tfidf
+from reviewmill.operators.lemma import lemmatize
 from reviewmill.session import literal_table, materialize
 
 
@@ -186,3 +187,38 @@ def test_topic_merging_joins_the_most_similar(spark):
     assert (step["merged"], step["into"]) == (1, 0)
     final = embedding_topics.reduce_topics(rows, "tokens", target=2)
     assert {r["id"]: r["topic"] for r in final.collect()} == {0: 0, 1: 0, 2: 2, 3: -1}
+
+
+def test_long_text_is_merged_and_lemmatised_in_place(spark):
+    rng = np.random.default_rng(2)
+    words = [str(w) for w in rng.choice(["a", "b", "c", "dogs", "dog"], size=20_000)]
+    rows = literal_table(spark, [(1, words)], "id bigint, tokens array<string>")
+    pairs = {("a", "b"), ("b", "b"), ("b", "c")}
+    merged, i = [], 0
+    while i < len(words):
+        taken = tuple(words[i : i + 2]) in pairs
+        merged.append("_".join(words[i : i + 2]) if taken else words[i])
+        i += 1 + taken
+    got = phrases.merge_phrases(rows, "id", "tokens", literal_table(spark, sorted(pairs), "a string, b string"))
+    assert got.first()["tokens"] == merged
+    assert lemmatize(rows, "id", "tokens").first()["tokens"] == ["dog" if w == "dogs" else w for w in words]
+
+
+def test_coherence_shuffles_no_text(spark):
+    rows = docs(spark, ["a b c", "a d"])
+    topics = literal_table(spark, [(0, "a"), (0, "b")], "topic int, word string")
+    plan = coherence.window_counts(rows, "id", "tokens", topics)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "__t" not in plan
+
+
+def test_reassign_goes_to_the_nearest_mean(spark):
+    rows = literal_table(spark, [(1, 0, [0.0, 0.0]), (2, 0, [2.0, 0.0]), (3, 1, [9.0, 0.0]), (4, -1, [8.0, 0.0]), (5, 0, [8.5, 0.0])], "id bigint, topic int, vector array<double>")
+    got = {r["id"]: r["topic"] for r in embedding_topics.reassign(rows, "id", "vector").collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 1, 5: 1}
+
+
+def test_document_vectors(spark):
+    rows = docs(spark, ["aa bb", "aa bb", "cc dd", ""])
+    got = {r["id"]: r["vector"] for r in doc_vectors.document_vectors(rows, "id", "tokens", size=200).collect()}
+    assert got[0] == got[1] and got[3] == [0.0] * 200 and len(got[2]) == 200
+    assert {round(abs(x), 6) for x in got[0]} == {0.0, round(math.sqrt(2), 6)}
