@@ -600,7 +600,7 @@ def nmf_topics(spark, sf_dir):
 def nmf_best_k(spark, sf_dir):
     docs, weights = _nmf_inputs(spark, sf_dir)
     dictionary = vocab.fixed_vocabulary(docs, "topic_tokens")
-    return _sweep_table(spark, nmf.sweep(docs, "doc_id", "topic_tokens", weights, dictionary))
+    return _sweep_table(spark, nmf.sweep(docs, "doc_id", "topic_tokens", weights, dictionary, tol=1e-3))
 
 
 @query
