@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from reviewmill.llm import decontaminate, html_text, mixing, pii, quality, sharding, simhash, suffixes, warc
+from reviewmill.llm import decontaminate, html_text, mixing, pii, quality, sharding, simhash, suffixes, topk, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_simhash": simhash.op1_simhash,
     "op2_main_text": html_text.op2_main_text,
+    "op3_nearest_codes": topk.op3_nearest_codes,
     "op4_warc": warc.op4_warc,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_personal_data": pii.op6_personal_data,
