@@ -58,10 +58,12 @@ def nearest_codes(
     left, found, s = queries, None, 0
     while not left.isEmpty():
         flips = [sum(1 << b for b in bits) for turned in range(s + 1) for bits in combinations(range(BITS), turned)]
-        probes = left.select("query", F.inline(_segments(F.col("query")))).select("query", "segment", "value", F.explode(F.lit(flips)).alias("flip"))
+        flips = F.split(F.lit(",".join(map(str, flips))), ",").cast("array<int>")  # one constant of the plan
+        probes = left.select("query", F.inline(_segments(F.col("query")))).select("query", "segment", "value", F.explode(flips).alias("flip"))
         probes = probes.select("query", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
         distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
-        near = probes.join(index, ["segment", "value"]).select("query", "code", distance.alias("distance"))
+        # The planner can't see how many values a query looks up; without the hint it may broadcast them.
+        near = probes.join(index.hint("shuffle_hash"), ["segment", "value"]).select("query", "code", distance.alias("distance"))
         covered = SEGMENTS * (s + 1) - 1
         near = materialize(near.filter(F.col("distance") <= covered).distinct(), "near")
         counts = near.join(kept, "code").groupBy("query").agg(F.count("*").alias("n"))
