@@ -15,8 +15,9 @@ first ``length`` bytes matter, and those can be brought together first:
 3. The covered intervals are merged per document and cut out.
 
 Equal stretches are dropped in chunks before anything is shuffled. An anchor with
-many stretches within one chunk (the edge of a very common line) is hot: its strings
-are not gathered under the anchor but grouped by their own bytes.
+many stretches within one chunk (the edge of a very common line) is hot: its strings,
+those of all other chunks too, are not gathered under the anchor but grouped by their
+own bytes.
 """
 
 from __future__ import annotations
@@ -131,7 +132,10 @@ def _intervals(kind, anchor, doc: np.ndarray, place: np.ndarray) -> pd.DataFrame
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by route, print, doc_id, place: repeats of a stretch are covered, anchors with several stretches go on."""
+    """Rows sorted by route, print, doc_id, place: repeats of a stretch are covered, anchors with several stretches go on.
+
+    An anchor that is marked was hot in some chunk, so its stretches of all other chunks go loose as well.
+    """
     kept = None
     for batch in _with_end(batches):
         rows = kept if batch is None else batch if kept is None else pd.concat([kept, batch], ignore_index=True)
@@ -155,7 +159,10 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not first.all():
             yield _intervals(COVERED, 0, doc[~first], place[~first])
         group = (np.cumsum(new) - 1)[first]
-        several = (np.bincount(group)[group] > 1) | np.isin(route[first], marked)
+        hot = np.isin(route[first], marked)
+        if hot.any():
+            yield _intervals(LOOSE, 0, doc[first][hot], place[first][hot])
+        several = (np.bincount(group)[group] > 1) & ~hot
         if several.any():
             yield _intervals(STRETCH, route[first][several], doc[first][several], place[first][several])
 

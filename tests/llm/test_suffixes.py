@@ -100,3 +100,19 @@ def test_colliding_hashes_remove_nothing(monkeypatch):
     monkeypatch.setattr(suffixes.Suffixes, "extension", lambda self, p, q: np.full(len(p), self.length))
     got = suffixes.repeated_starts(data, np.array([0, 50, 100, 150]), np.zeros(4, np.int64), 50)
     assert got.tolist() == [False, False, True, False]
+
+
+def test_anchor_hot_in_one_partition_only(spark):
+    """Strings of an anchor that is hot in one task meet those of a task in which it isn't."""
+    draw = random.Random(11)
+    text = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    line = text(80)
+    around = [(text(15), text(15)) for _ in range(300)]
+    hot = [(i, text(70) + a + line + b + text(70)) for i, (a, b) in enumerate(around)]
+    rare = [(1000 + i, text(70) + a + line + b + text(70)) for i, (a, b) in enumerate(around[::30])]
+    want = plain([(i, t.encode()) for i, t in hot + rare])
+    assert all(w[2] >= 110 for w in want[300:])
+    for parts in ([hot, rare], [rare, hot]):
+        docs = spark.sparkContext.parallelize(parts, 2).flatMap(lambda part: part)
+        frame = spark.createDataFrame(docs, "doc_id long, text string")
+        assert rows_of(suffixes.remove_repeats(frame)) == sorted(want, key=str)
