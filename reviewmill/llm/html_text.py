@@ -4,8 +4,10 @@ The parser's events cut a page into lines, one per block element. Each line has
 text-to-tag ratio; ratios are smoothed with a Gaussian kernel, and lines above a
 threshold form clusters. The clusters show which part of the page holds the article:
 the article or main element with most of their text, or in a page without such
-elements the lowest element with nearly all of it. Its lines are the text, without elements whose name, role or class
-says that they are something else.
+elements the lowest element with nearly all of it. Its lines are the text, and those
+of other article and main elements that lie in clusters; without elements whose tag or
+role says that they are something else. Classes and ids say so only of elements that
+hold a small part of the clustered text: layouts use the same names for wrappers.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from reviewmill.llm.common import table
 
 SIGMA = 2.0  # of the smoothing, in lines
-NEARLY_ALL = 0.9
+NEARLY_ALL, HALF = 0.9, 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -33,13 +35,15 @@ LEFT_OUT = frozenset(
     "head title script style noscript template nav header footer aside menu form button select option textarea input dialog iframe object embed svg canvas audio video map".split()
 )
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: First or last part of a class or id that marks something beside the article.
+#: First or last part of a class or id that marks something beside the article, unless it holds most of the page.
 LEFT_OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr"
     " notice notices notification notifications alert disclaimer sidebar sidebars aside comment comments commentlist respond reply replies disqus discussion"
     " menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer social share sharing related recommended recommendations newsletter"
     " subscribe subscription signup login popup modal overlay widget widgets toolbar pagination pager skip search form".split()
 )
+#: Those of them that themes also give to wrappers of the article.
+LAYOUT_NAMES = frozenset("promo promos promotion banner banners notice notices alert sidebar sidebars aside nav header masthead footer widget widgets modal overlay search form".split())
 NOT_SAID = frozenset("has with no without is not".split())
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -63,44 +67,56 @@ def left_out(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             return True
-        if name in ("class", "id"):
-            for word in value.split():
-                parts = [p.lower() for p in _PARTS.findall(word)]
-                if parts and parts[0] not in NOT_SAID and (parts[0] in LEFT_OUT_NAMES or parts[-1] in LEFT_OUT_NAMES):
-                    return True
     return False
 
 
+def named(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[frozenset[str], bool] | None:
+    """The classes and ids that mark something beside the article, and whether all are layout names; None without any."""
+    found = {}
+    if tag not in ("html", "body", "article", "main"):
+        for word in " ".join(value or "" for name, value in attrs if name in ("class", "id")).split():
+            parts = [p.lower() for p in _PARTS.findall(word)]
+            if parts and parts[0] not in NOT_SAID and (said := {parts[0], parts[-1]} & LEFT_OUT_NAMES):
+                found[word] = said <= LAYOUT_NAMES
+    return (frozenset(found), all(found.values())) if found else None
+
+
+#: Text, whether it is a link's, the named elements around it.
+Piece = tuple[str, bool, tuple[int, ...]]
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, link characters, path of container numbers) per line."""
+    """Collects (pieces of text, tags, innermost container) per line."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, container number (-1: inline), left out
+        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, container number (-1: inline), left out, named
         self.outside = 0  # open elements that are left out
         self.links = 0
         self.parent: list[tuple[str, int]] = []  # of each container: its tag, the container around it
-        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, link characters, innermost container
-        self.text: list[str] = []
-        self.tags = self.linked = 0
+        self.lines: list[tuple[list[Piece], int, int]] = []
+        self.text: list[Piece] = []
+        self.tags = 0
+        self.names: list[tuple[frozenset[str], bool]] = []  # of each named element
+        self.within: tuple[int, ...] = ()  # open named elements
 
     def container(self) -> int:
-        return next((n for _, n, _ in reversed(self.stack) if n >= 0), -1)
+        return next((n for _, n, _, _ in reversed(self.stack) if n >= 0), -1)
 
     def end_line(self) -> None:
-        text = " ".join("".join(self.text).split())
-        if text:
-            self.lines.append((text, self.tags, self.linked, self.container()))
+        if any(data.strip() for data, _, _ in self.text):
+            self.lines.append((self.text, self.tags, self.container()))
             self.tags = 0
-        self.text.clear()
-        self.linked = 0
+        self.text = []
 
     def pop(self) -> None:
-        tag, number, out = self.stack[-1]
+        tag, number, out, has_name = self.stack[-1]
         if number >= 0 or tag not in INLINE:
             self.end_line()
         self.stack.pop()
         self.outside -= out
+        if has_name:
+            self.within = self.within[:-1]
         self.links -= tag == "a"
 
     def close_open(self, tags: set[str] | frozenset[str], border: set[str]) -> None:
@@ -120,7 +136,7 @@ class Lines(HTMLParser):
         if tag in IMPLIED:
             self.close_open(*IMPLIED[tag])
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", False, ()))
         self.tags += 1
         if tag in VOID:
             if tag not in INLINE and tag != "br":
@@ -132,8 +148,11 @@ class Lines(HTMLParser):
             if tag != "p":
                 number = len(self.parent)
                 self.parent.append((tag, self.container()))
-        out = left_out(tag, attrs)
-        self.stack.append((tag, number, out))
+        out, names = left_out(tag, attrs), named(tag, attrs)
+        self.stack.append((tag, number, out, names is not None))
+        if names:
+            self.within = (*self.within, len(self.names))
+            self.names.append(names)
         self.outside += out
         self.links += tag == "a"
 
@@ -143,27 +162,71 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", False, ()))
         elif tag not in VOID:
             self.close_open({tag}, set() if tag not in INLINE else ENDS_PARAGRAPH - {"p"})
 
     def handle_data(self, data: str) -> None:
         if not self.outside:
-            self.text.append(data)
-            if self.links:
-                self.linked += len(data.strip())
+            self.text.append((data, self.links > 0, self.within))
 
 
-def content_lines(lines: list[tuple[str, int, int, int]], parent: list[tuple[str, int]]) -> list[str]:
-    if not lines:
-        return []
+def joined(page: Lines, vetoed: set[int]) -> list[tuple[str, int, int, int]]:
+    """(text, tags, link characters, innermost container) of every line that has text outside the vetoed elements."""
+    lines, tags = [], 0
+    for pieces, n, at in page.lines:
+        tags += n
+        left = [(data, link) for data, link, names in pieces if not vetoed.intersection(names)]
+        text = " ".join("".join(data for data, _ in left).split())
+        if text:
+            lines.append((text, tags, sum(len(data.strip()) for data, link in left if link), at))
+            tags = 0
+    return lines
+
+
+def vetoes(page: Lines) -> set[int]:
+    """Named elements that are left out.
+
+    First go those with another name than of layout, unless one holds nearly all of the
+    clustered text. Of the text that is left a layout element may hold half at most, and
+    so may all elements with the same names together.
+    """
+    if not page.names:
+        return set()
+    inside = clusters(joined(page, set()))[0]
+    parts = [(len(data.strip()), names) for (pieces, _, _), near in zip(page.lines, inside, strict=True) if near for data, link, names in pieces if not link]
+    vetoed: set[int] = set()
+    for layout, most in ((False, NEARLY_ALL), (True, HALF)):
+        parts = [(n, names) for n, names in parts if not vetoed.intersection(names)]
+        most *= sum(n for n, _ in parts)
+        held: dict[int, int] = defaultdict(int)
+        for n, names in parts:
+            for k in names:
+                held[k] += n
+        some = {k for k, (_, is_layout) in enumerate(page.names) if is_layout == layout and held[k] <= most}
+        together: dict[frozenset[str], int] = defaultdict(int)
+        for n, names in parts:
+            for words in {page.names[k][0] for k in names if k in some}:
+                together[words] += n
+        vetoed |= {k for k in some if together[page.names[k][0]] <= most}
+    return vetoed
+
+
+def clusters(lines: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which lines lie in clusters; the sizes of all, and of their links."""
     size = np.array([len(text) for text, _, _, _ in lines], dtype=float)
     linked = np.array([min(n, len(text)) for text, _, n, _ in lines], dtype=float)
     ratio = (size - linked) / np.maximum([tags for _, tags, _, _ in lines], 1)
     reach = int(3 * SIGMA)
     kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * SIGMA**2))
     smooth = np.convolve(ratio, kernel)[reach:-reach] / np.convolve(np.ones(len(lines)), kernel)[reach:-reach]
-    clustered = smooth >= min(smooth.std(), smooth.mean())
+    return smooth >= min(smooth.std(), smooth.mean()), size, linked
+
+
+def content_lines(lines: list[tuple[str, int, int, int]], parent: list[tuple[str, int]]) -> list[str]:
+    if not lines:
+        return []
+    clustered, size, linked = clusters(lines)
 
     held: dict[int, float] = defaultdict(float)
     weights = np.where(clustered, size - linked, 1e-3 * size)  # lines outside the clusters only decide between elements without any
@@ -178,9 +241,15 @@ def content_lines(lines: list[tuple[str, int, int, int]], parent: list[tuple[str
     root = max((n for n in marks or held if held[n] >= most), default=-1)
     kept = []
     for (text, _, _, at), inside, n, links in zip(lines, clustered, size, linked, strict=True):
-        while at > root >= 0:
+        marked = False
+        while at > root >= 0 or (at >= 0 and landmark and at != root):
+            marked |= parent[at][0] in ("article", "main")
             at = parent[at][1]
-        if (at == root or root < 0) and (landmark or inside or links < n / 2):
+        if at == root or root < 0:
+            take = landmark or inside or links < n / 2
+        else:  # the other landmarks give their clustered lines
+            take = marked and inside and links < n / 2
+        if take:
             kept.append(text)
     return kept
 
@@ -195,7 +264,9 @@ def main_text(html: str | None) -> str:
     while page.stack:
         page.pop()
     page.end_line()
-    return " ".join(content_lines(page.lines, page.parent))
+    if not page.lines:
+        return ""
+    return " ".join(content_lines(joined(page, vetoes(page)), page.parent))
 
 
 def text_column(html: Column) -> Column:

@@ -43,6 +43,26 @@ def test_page_without_semantic_elements():
     assert main_text(page) == f"Heading {LONG * 4}Short. {LONG * 3}".strip()
 
 
+def test_names_of_layout_wrappers():
+    """A wrapper with a listed name is kept if it holds the page's text; real sidebars and comments still go."""
+    paragraphs = [f"Paragraph {i}. {LONG}".strip() for i in range(6)]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    side, said = "<div class='sidebar'><p>Short side.</p></div>", f"<div class='comments'><p>{LONG * 6}</p></div>"
+    want = " ".join(paragraphs)
+    assert main_text("".join(f"<div class='elementor-widget'><p>{p}</p></div>" for p in paragraphs) + side + said) == want
+    assert main_text(f"<div id=page class='right-sidebar'><div>{body}</div>{side}</div>{said}") == want
+    assert main_text(f"<div class='header-wrap search-form'><article>{body}</article></div>{side}") == want
+    assert main_text("<span class='widget-text'>" + LONG * 3 + "</span><span class='ad'>buy</span>") == (LONG * 3).strip()
+
+
+def test_split_articles():
+    parts = [f"<article><h2>Part {i}</h2><p>{LONG * n}</p></article>" for i, n in enumerate((8, 3, 2))]
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>More {i}</a></li>" for i in range(20)) + "</ul>"
+    want = " ".join(f"Part {i} {LONG * n}".strip() for i, n in enumerate((8, 3, 2)))
+    assert main_text(f"<main>{''.join(parts)}{links}</main>") == want
+    assert main_text(f"<main><article><p>{LONG * 6}</p></article><p>{LONG * 4}</p></main>") == f"{LONG * 10}".strip()
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None), (2, None, ""), (3, "v", "<p>" + "w " * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit("x").alias(c) for c in [*EXTRA, "text"]])
