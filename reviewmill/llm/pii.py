@@ -7,8 +7,10 @@ and a proposal clear of all base spans is added if it reaches its kind's thresho
 
 The trees learn from the corpus itself: base matches that pass or fail their check,
 base spans rewritten into the looser formats (positive), and what the generators
-propose elsewhere (negative). Rows with equal features are one weighted cell, and
-there are only so many cells, whatever the corpus; boosting runs over that table.
+propose elsewhere in a format that positives don't have (negative). Proposals in a
+format of positives may be genuine, so nothing is learnt from them. Rows with equal
+features are one weighted cell, and there are only so many cells, whatever the corpus;
+boosting runs over that table.
 """
 
 from __future__ import annotations
@@ -39,7 +41,19 @@ WIDE = {
 #: What a text must hold before a pattern is tried on it.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 CONTEXT = 24
-KEYWORDS = r"(?i)\b(?:e-?mail|mail|contact|phone|tel|call|mobile|fax|card|visa|credit|account|ip|host|address)\b"
+KEYWORDS = {
+    "email": r"(?i)\b(?:e-?mail|mail|contact|address|write|reach|send|message)\b",
+    "ip": r"(?i)\b(?:ip|host|address)\b",
+    "card": r"(?i)\b(?:card|visa|credit|account)\b",
+    "phone": r"(?i)\b(?:phone|tel|call|contact|mobile|fax)\b",
+}
+#: Words before "at host.com" that aren't names.
+ORDINARY = (
+    "a all also am and are as available back be been best bought buy by check contact do down featured find first for found free from go going got have here him host hosted"
+    " hour in info information is it just learn live local located look looked looking looks made me more new not now of off on one online only or order our out over"
+    " page people post posted read register see seen sell shop shown sign site so sold staff start stay stop store team that the them there this to today up us visit was we website were what"
+    " work working works write you"
+).split()
 #: Feature and its number of bins; a cell is one combination.
 FEATURES = {"kind": 4, "wide": 2, "digits": 6, "luhn": 2, "octets": 2, "separators": 3, "before": 3, "after": 3, "keyword": 2, "ending": 2}
 ROUNDS, RATE, PRECISION = 40, 0.3, 0.98
@@ -105,14 +119,22 @@ def described(rows: DataFrame) -> DataFrame:
     marks = F.regexp_replace("value", "[A-Za-z0-9]", "")
     marks = F.when(F.col("kind") == 0, F.lit("")).otherwise(marks)
     is_kind = lambda k: F.col("kind") == KINDS.index(k)
+    # Of a loose email instead: what its name is like, an ordinary word, letters, or more than a word.
+    local = F.regexp_extract("value", r"^[A-Za-z0-9._%+-]+", 0)
+    more = F.col("value").rlike(r"[\[({<]|\x20dot\x20") | local.rlike(r"[A-Za-z0-9][._%+]+[A-Za-z0-9]|[A-Za-z][0-9]|[0-9][A-Za-z]")
+    name = F.when(more, 2).when(F.lower(local).isin(*ORDINARY) | ~local.rlike("[A-Za-z]"), 0).otherwise(1)
+    context = F.concat_ws(" ", "left", "right")
+    keyword = F.when(is_kind(KINDS[0]), context.rlike(KEYWORDS[KINDS[0]]))
+    for kind in KINDS[1:]:
+        keyword = keyword.when(is_kind(kind), context.rlike(KEYWORDS[kind]))
     rows = rows.withColumns({
         "digits": F.when(F.col("n") == 0, 0).when(F.col("n") < 8, 1).when(F.col("n") < 13, 2).when(F.col("n") < 16, 3).when(F.col("n") < 20, 4).otherwise(5),
         "luhn": F.when(F.col("n").between(12, 19), luhn_valid(F.col("number"))).otherwise(False).cast("int"),
         "octets": F.when(is_kind("ip") & (F.col("wide") == 0), _octets_valid(F.col("value"))).otherwise(False).cast("int"),
-        "separators": F.when(marks == "", 0).when(F.length(F.replace(marks, F.left(marks, F.lit(1)), F.lit(""))) == 0, 1).otherwise(2),
+        "separators": F.when(is_kind("email") & (F.col("wide") == 1), name).when(marks == "", 0).when(F.length(F.replace(marks, F.left(marks, F.lit(1)), F.lit(""))) == 0, 1).otherwise(2),
         "before": _side(F.right("left", F.lit(1))),
         "after": _side(F.left("right", F.lit(1))),
-        "keyword": F.concat_ws(" ", "left", "right").rlike(KEYWORDS).cast("int"),
+        "keyword": keyword.cast("int"),
         "ending": F.col("value").rlike(r"[A-Za-z]{2,6}$").cast("int"),
     })
     valid = F.when(is_kind("email"), True).when(is_kind("ip"), F.col("octets") == 1)
@@ -122,13 +144,26 @@ def described(rows: DataFrame) -> DataFrame:
 
 def rewritten(valid: DataFrame) -> DataFrame:
     """Base spans in the loose formats: what the generators should find."""
-    value = (
-        F.when(F.col("kind") == KINDS.index("email"), F.replace("value", F.lit("@"), F.lit(" at ")))
-        .when(F.col("kind") == KINDS.index("card"), F.translate("value", " -", ".."))
-        .when(F.col("kind") == KINDS.index("phone"), F.substring("value", 2, 1 << 20))
+    hashed = F.md5("value")
+    full = F.concat_ws(":", *[F.substring(hashed, 4 * i + 1, 4) for i in range(8)])
+    short = F.concat_ws(":", F.lit("2001:db8:0:0"), *[F.substring(hashed, 4 * i + 1, i + 1) for i in range(4)])
+    values = (
+        F.when(F.col("kind") == KINDS.index("email"), F.array(*[F.replace("value", F.lit("@"), F.lit(at)) for at in (" at ", " [at] ")]))
+        .when(F.col("kind") == KINDS.index("ip"), F.array(full, short))
+        .when(F.col("kind") == KINDS.index("card"), F.array(F.translate("value", " -", "..")))
+        .when(F.col("kind") == KINDS.index("phone"), F.array(F.substring("value", 2, 1 << 20)))
     )
-    rows = valid.select("kind", F.lit(1).alias("wide"), value.alias("value"), "left", "right").filter("value is not null")
-    return described(rows)
+    return described(valid.select("kind", F.lit(1).alias("wide"), F.explode(values).alias("value"), "left", "right"))
+
+
+def maybe_genuine() -> Column:
+    """Loose proposals in a format of positives: they aren't known to be negative."""
+    is_kind = lambda k: F.col("kind") == KINDS.index(k)
+    said = F.col("keyword") == 1
+    like = is_kind("ip") | (is_kind("email") & ((F.col("separators") == 2) | ((F.col("separators") == 1) & said)))
+    like |= is_kind("card") & (F.col("digits") == 4) & (F.col("luhn") == 1)
+    like |= is_kind("phone") & F.col("digits").isin(2, 3) & said
+    return (F.col("wide") == 1) & like
 
 
 Tree = tuple | float
@@ -233,7 +268,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = rows.withColumn("covered", covered).filter("valid OR wide = 0 OR NOT covered")
     rows = materialize(rows.select("row_id", "start", "end", "value", F.right("left", F.lit(CONTEXT)).alias("left"), "right", "valid", *FEATURES), "spans")
 
-    counted = rows.select(*FEATURES, F.col("valid").cast("int").alias("good")).unionByName(rewritten(rows.filter("valid")).select(*FEATURES, F.lit(1).alias("good")))
+    counted = rows.filter(~maybe_genuine()).select(*FEATURES, F.col("valid").cast("int").alias("good")).unionByName(rewritten(rows.filter("valid")).select(*FEATURES, F.lit(1).alias("good")))
     counted = counted.groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("good").alias("good")).collect()  # one row per cell
     cells = {tuple(r[f] for f in FEATURES): (float(r.n), float(r.good)) for r in sorted(counted, key=lambda r: tuple(r[f] for f in FEATURES))}
     first, trees = boost(cells) if cells else (0.0, [])

@@ -67,6 +67,20 @@ def test_adds_loose_spans_in_the_format_of_the_corpus(spark):
     assert all(not r.spans for r in rows[302:])
 
 
+def test_finds_ipv6_and_many_obfuscated_emails(spark):
+    """Genuine loose spans in any number don't count against themselves."""
+    texts = [f"write to {'user' if i % 2 else 'name.'}{i if i % 2 == 0 else ''}@mail{i % 7}.example.com from 10.0.{i % 200}.{i % 90} now" for i in range(280)]
+    loose = [f"write to name.{i} at mail{i % 7}.example.com now" for i in range(80)] + ["please write to john at mail3.example.com now"] * 40
+    ips = [f"seen 2001:db8:0:0:{i:x}:1a2b:ff00:42 and 2001:0db8:85a3:0000:0000:8a2e:0370:73{i % 90 + 10} there" for i in range(20)]
+    neutral = [f"come and look at {'mail3.' * (i % 2)}example.com whenever there is time" for i in range(60)]
+    texts += loose + ips + neutral
+    rows = sorted(pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    check(rows, texts)
+    assert all(r.spans.startswith("email:9:") for r in rows[280:360]) and all(r.spans == "email:16:41" for r in rows[360:400])
+    assert all(r.spans.count("ip:") == 2 for r in rows[400:420])
+    assert not any(r.spans for r in rows[420:])
+
+
 def test_boosting_separates_cells():
     cells = {(k, w, 0, u, 0, 0, 0, 0, 0, 0): (100.0, 100.0 if u else 0.0) for k in (0, 1) for w in (0, 1) for u in (0, 1)}
     first, trees = pii.boost(cells)
