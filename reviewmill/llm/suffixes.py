@@ -370,7 +370,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     cut = texts.select("doc_id", "copy", "raw").join(open_, ["doc_id", "copy"]).select("kind", "anchor", "doc_id", "copy", "lo", "n", "off", slice_)
     cut = materialize(cut, "open_stretches")
     compared = cut.filter(F.col("kind") == STRETCH).drop("kind").repartition("anchor").sortWithinPartitions("anchor")
-    compared = compared.mapInPandas(_sorted_suffixes(length), "doc_id long, copy int, lo long, n long")
+    compared = materialize(compared.mapInPandas(_sorted_suffixes(length), "doc_id long, copy int, lo long, n long"), "compared")  # not beside the loose strings: each needs memory
 
     loose = cut.filter(F.col("kind") == LOOSE).select("doc_id", "copy", "lo", "raw", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("step"))
     loose = loose.select("doc_id", "copy", (F.col("lo") + F.col("step")).alias("lo"), F.unhex(F.md5(F.substring("raw", F.col("step") + 1, F.lit(length)))).alias("string"))
