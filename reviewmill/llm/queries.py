@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from reviewmill.llm import decontaminate, html_text, mixing, pii, quality, sharding, simhash, suffixes, topk, warc
+from reviewmill.llm import decontaminate, html_text, mixing, pii, quality, sharding, simhash, suffixes, topk, warc, whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,5 +17,6 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality": quality.op9_quality,
     "op10_reshard": sharding.op10_reshard,
+    "op11_whitening": whitening.op11_whitening,
 }
 ORACLE = {"op5_decontaminate": decontaminate.OP5_SQL, "op8_mix_sources": mixing.OP8_SQL}
