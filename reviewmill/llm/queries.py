@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from reviewmill.llm import decontaminate, html_text, mixing, pii, quality, sharding, simhash, suffixes, topk, warc, whitening
+from reviewmill.llm import conversations, decontaminate, html_text, mixing, pii, quality, sharding, simhash, suffixes, topk, warc, whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,5 +18,6 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_reshard": sharding.op10_reshard,
     "op11_whitening": whitening.op11_whitening,
+    "op12_repair": conversations.op12_repair,
 }
-ORACLE = {"op5_decontaminate": decontaminate.OP5_SQL, "op8_mix_sources": mixing.OP8_SQL}
+ORACLE = {"op5_decontaminate": decontaminate.OP5_SQL, "op8_mix_sources": mixing.OP8_SQL, "op12_repair": conversations.OP12_SQL}
