@@ -6,9 +6,12 @@ survivor. Survivors are paths in a tree of backpointers whose nodes count what r
 them: a dropped survivor frees its branch at once, and as soon as the root has a single
 branch left, which means that all survivors share that edit, it is emitted and forgotten.
 So what a task holds is the unresolved part of one conversation, not the conversation.
-Of equally cheap paths into a state the one with the least audit stays. Neither audit can begin
-with the other (it would be more inserts at the same cost), so their first difference, looked
-for in the whole unresolved suffix, decides for any future.
+Of equally cheap paths into a state the one with the least audit stays. Before inserts all
+survivors' audits hold one letter for every turn and end in one, so none begins with another: the first
+difference in their whole unresolved suffixes decides for any future. That order of the
+survivors is kept from turn to turn, so a comparison of suffixes takes one step, however long they are.
+Two survivors that stay apart, such as the two ways to pair a run of equal roles, are held until
+they are decided, at worst to the conversation's end.
 
 Rows are dealt by conversation once; duplicates are found by a window that this deal already
 satisfies, and sorts spill. A conversation is one stream, since the hash of its repaired text
@@ -40,27 +43,15 @@ DIGEST = "gaps long, blank long, duplicate long, truncated long, illegal long, c
 class Edit:
     """A node of the backpointer tree; ``times`` equal deletions in a row are one node."""
 
-    __slots__ = ("parent", "letter", "times", "turn", "depth", "held", "branches")
+    __slots__ = ("parent", "letter", "times", "turn", "held", "branches")
 
     def __init__(self, parent: Edit | None, letter: str, turn: tuple[str, str] | None):
         self.parent, self.letter, self.turn, self.times = parent, letter, turn, 1
-        self.depth = parent.depth + 1 if parent else 0
         self.held, self.branches = 0, []
         if parent:
             parent.branches.append(self)
 
 
-def _earlier(one: tuple[Edit, str], other: tuple[Edit, str]) -> bool:
-    """Whether the audit of (path, next letter) ``one`` comes before ``other``'s: both back to where they meet."""
-    (x, left), (y, right) = one, other
-    while x is not y:
-        if x.depth >= y.depth:
-            left, x = x.letter * x.times + left, x.parent
-        else:
-            right, y = y.letter * y.times + right, y.parent
-    return left < right
-
-
 class Repair:
     """Streams one conversation's turns to its cheapest edits; ``emit(letter, turn)`` gets every edit once it is certain."""
 
@@ -68,84 +59,79 @@ class Repair:
         self.emit = emit
         self.root = Edit(None, "", None)
         self.root.held = 1
-        self.cells: list[tuple[int, Edit] | None] = [(0, self.root), None, None, None]
-        self._inserts()
+        #: By state: (cost, place in the order of all survivors' audits, path's last edit).
+        self.survivors: dict[int, tuple[int, int, Edit]] = {NOTHING: (0, 0, self.root)}
+        self._reach()
 
     def add(self, role: str, text: str, *, forced: bool, truncated: bool) -> None:
         """The next turn; ``forced`` ones are deleted, undeleted ``truncated`` ones cost more."""
-        old, new = self.cells, [None] * 4
+        best: dict[int, tuple] = {}
         extra = TRUNCATED if truncated else 0
-        for state, cell in enumerate(old):
-            if cell is None:
-                continue
-            cost, path = cell
-            self._offer(new, state, cost + DELETE, path, "D", None)
+
+        def offer(state: int, cost: int, cell: tuple, letter: str, turn: tuple[str, str] | None) -> None:
+            _, order, start, inserts = cell
+            key = (cost, order, "I" * inserts + letter)
+            if state not in best or key < best[state][0]:
+                best[state] = key, start, inserts, letter, turn
+
+        for state, cell in self.cells.items():
+            offer(state, cell[0] + DELETE, cell, "D", None)
             if not forced:
                 if (after := KEPT.get((state, role[:1]))) is not None:
-                    self._offer(new, after, cost + extra, path, "K", (role, text))
+                    offer(after, cell[0] + extra, cell, "K", (role, text))
                 after, name = NAMED[state]
-                self._offer(new, after, cost + REROLE + extra, path, "R", (name, text))
-        self.cells = [self._grown(best) for best in new]
-        for cell in old:
-            if cell:
-                self._free(cell[1])
-        self._inserts()
-        self._drop_hopeless()
+                offer(after, cell[0] + REROLE + extra, cell, "R", (name, text))
+        old, self.survivors, grown = self.survivors, {}, {}
+        for order, (state, won) in enumerate(sorted(best.items(), key=lambda item: item[1][0][1:])):
+            (cost, _, _), start, inserts, letter, turn = won
+            node = self._inserted(old[start][2], start, inserts, grown)
+            node = Edit(node, letter, turn)
+            node.held = 1
+            self.survivors[state] = cost, order, node
+        for _, _, node in old.values():
+            self._free(node)
+        self._reach()
         self._settle()
 
     def end(self) -> int:
         """The cost; what is unresolved is emitted."""
-        best = min((c for c in (self.cells[NOTHING], self.cells[ASSISTANT]) if c), key=lambda c: c[0])
-        first = self.cells[NOTHING]
-        if first and first is not best and first[0] == best[0] and _earlier((first[1], ""), (best[1], "")):
-            best = first
-        elif best is first and (last := self.cells[ASSISTANT]) and last[0] == first[0] and _earlier((last[1], ""), (first[1], "")):
-            best = last
-        way, node = [], best[1]
+        cost, _, start, inserts = min((self.cells[s] for s in (NOTHING, ASSISTANT) if s in self.cells), key=lambda c: c[:2])
+        way, node = [], self._inserted(self.survivors[start][2], start, inserts, {})
         while node is not self.root:
             way.append(node)
             node = node.parent
         for node in reversed(way):
             self._out(node)
-        return best[0]
-
-    def _offer(self, cells: list, state: int, cost: int, path: Edit, letter: str, turn: tuple[str, str] | None) -> None:
-        best = cells[state]
-        if best is None or cost < best[0] or cost == best[0] and _earlier((path, letter), best[1:3]):
-            cells[state] = (cost, path, letter, turn)
-
-    def _grown(self, best: tuple | None) -> tuple[int, Edit] | None:
-        if best is None:
-            return None
-        cost, path, letter, turn = best
-        node = Edit(path, letter, turn)
-        node.held = 1
-        return cost, node
-
-    def _inserts(self) -> None:
-        """Every state may go on by an inserted turn; two in a row are the most that pay."""
-        for state in (NOTHING, SYSTEM, ASSISTANT, USER, ASSISTANT):
-            if (cell := self.cells[state]) is None:
-                continue
-            after, name = NAMED[state]
-            cost, known = cell[0] + INSERT, self.cells[after]
-            if known and (cost > known[0] or cost == known[0] and not self._sooner(cell[1], known[1])):
-                continue
-            self.cells[after] = self._grown((cost, cell[1], "I", (name, "")))
-            if known:
-                self._free(known[1])
-
-    def _drop_hopeless(self) -> None:
-        """After an assistant's turn every way on from a system turn is open too, and, by deleting one turn, every way on from nothing."""
-        if (last := self.cells[ASSISTANT]) is None:
-            return
-        for state, spared in ((NOTHING, DELETE), (SYSTEM, 0)):
-            if (cell := self.cells[state]) and cell[0] > last[0] + spared:
-                self.cells[state] = None
-                self._free(cell[1])
-
-    def _sooner(self, path: Edit, known: Edit) -> bool:
-        return _earlier((path, "I"), (known, ""))
+        return cost
+
+    def _inserted(self, node: Edit, state: int, inserts: int, grown: dict) -> Edit:
+        for n in range(inserts):
+            state, name = NAMED[state]
+            if (node, n) not in grown:
+                grown[node, n] = Edit(node, "I", (name, ""))
+            node = grown[node, n]
+        return node
+
+    def _reach(self) -> None:
+        """By state the best (cost, order, survivor's state, inserts) with up to two inserts; survivors that no way on needs go.
+
+        After an assistant's turn every way on from a system turn is open too, and, by deleting one turn, every way on from nothing.
+        """
+        cells: dict[int, tuple] = {}
+        for start, (cost, order, _) in self.survivors.items():
+            state = start
+            for inserts in range(3):
+                if state not in cells or (cost, order) < cells[state][:2]:
+                    cells[state] = cost, order, start, inserts
+                state, cost = NAMED[state][0], cost + INSERT
+        if ASSISTANT in cells:
+            for state, spared in ((NOTHING, DELETE), (SYSTEM, 0)):
+                if state in cells and cells[state][0] > cells[ASSISTANT][0] + spared:
+                    del cells[state]
+        self.cells = cells
+        needed = {cell[2] for cell in cells.values()}
+        for state in [s for s in self.survivors if s not in needed]:
+            self._free(self.survivors.pop(state)[2])
 
     def _free(self, node: Edit) -> None:
         """One reference less; what nothing refers to goes, and so up the tree."""
@@ -161,11 +147,9 @@ class Repair:
             self.root = self.root.branches[0]
             self._out(self.root)
             self.root.parent = None
-        for cell in self.cells:
-            if cell is None or (node := cell[1]).letter != "D" or node.held != 1 or node.branches:
-                continue
+        for _, _, node in self.survivors.values():
             above = node.parent
-            if above and above is not self.root and above.letter == "D" and not above.held and len(above.branches) == 1:
+            if node.letter == "D" and above and above is not self.root and above.letter == "D" and not above.held and len(above.branches) == 1:
                 above.parent.branches.remove(above)
                 above.parent.branches.append(node)
                 node.times += above.times
