@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from reviewmill.llm import conversations, decontaminate, html_text, mixing, pii, quality, sharding, simhash, suffixes, topk, warc, whitening
+from reviewmill.llm import conversations, decontaminate, html_text, mixing, neighbours, pii, quality, sharding, simhash, suffixes, topk, warc, whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -19,5 +19,6 @@ QUERIES = {
     "op10_reshard": sharding.op10_reshard,
     "op11_whitening": whitening.op11_whitening,
     "op12_repair": conversations.op12_repair,
+    "op13_neighbours": neighbours.op13_neighbours,
 }
 ORACLE = {"op5_decontaminate": decontaminate.OP5_SQL, "op8_mix_sources": mixing.OP8_SQL, "op12_repair": conversations.OP12_SQL}
