@@ -5,8 +5,8 @@ exact neighbours within two random deals into blocks. A round joins neighbours o
 neighbours: every node lists a sample of its neighbours and of the nodes that name it, pairs
 with a new one are compared, and what beats a node's worst neighbour replaces it, until
 few change. The pairs of a node are never rows: nodes are dealt into blocks of bounded
-size, a block fetches each vector that its lists name once, and sends the best finds of a node
-as one row.
+size, a block fetches each vector that its lists name once, and sends its best finds as one packed row
+for every block that it has finds for.
 
 A search starts from the query's own node, which is in the graph like any other, keeps a
 beam of the best nodes met and follows the links of the best not yet followed, until all
@@ -40,8 +40,8 @@ BEAM = 256  # nodes that a query keeps
 FOLLOWED = 40  # of them followed in one round
 RESCORED = 64  # of them scored again in double precision
 
-STATE = "node long, vec binary, ids binary, vals binary, new binary, worst float, n_new int"
-FOUND = "node long, ids binary, vals binary"
+STATE = "home int, node long, vec binary, ids binary, vals binary, new binary, worst float, n_new int"
+FOUND = "home int, nodes binary, counts binary, ids binary, vals binary"
 SEARCH = "query long, vec binary, ids binary, vals binary, followed binary, seen binary, wanted binary, n_open int"
 
 
@@ -65,28 +65,43 @@ def _packed(node: np.ndarray, other: np.ndarray, val: np.ndarray, most: int) ->
     return node[begin], begin, other, val
 
 
-def _rows(nodes: np.ndarray, begin: np.ndarray, other: np.ndarray, val: np.ndarray) -> pd.DataFrame:
-    ends = np.r_[begin[1:], len(other)]
-    return pd.DataFrame({"node": nodes, "ids": [other[a:b].tobytes() for a, b in zip(begin, ends)], "vals": [val[a:b].tobytes() for a, b in zip(begin, ends)]})
+def _homes(nodes: np.ndarray, blocks: int) -> np.ndarray:
+    """The block a node's state and lists are in."""
+    mixed = nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(blocks)).astype(np.int32)
+
+
+def _rows(nodes: np.ndarray, begin: np.ndarray, other: np.ndarray, val: np.ndarray, blocks: int) -> pd.DataFrame:
+    """One row for each home block: its nodes, how many finds each has, and the finds."""
+    counts = np.diff(np.r_[begin, len(other)]).astype("<i4")
+    home = _homes(nodes, blocks)
+    order = np.argsort(home, kind="stable")
+    far = np.argsort(np.repeat(home, counts), kind="stable")
+    nodes, counts, other, val, home = nodes[order], counts[order], other[far], val[far], home[order]
+    starts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]][: len(home)])
+    ends = np.r_[starts[1:], len(home)]
+    upto = np.r_[0, np.cumsum(counts)]
+    cells = [(home[a], nodes[a:b].tobytes(), counts[a:b].tobytes(), other[upto[a] : upto[b]].tobytes(), val[upto[a] : upto[b]].tobytes()) for a, b in zip(starts, ends)]
+    return pd.DataFrame(cells, columns=[c.split()[0] for c in FOUND.split(", ")])
 
 
 def _block(column: str, blocks: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(blocks)).cast("int")
 
 
-def _within(most: int):
+def _within(most: int, blocks: int):
     """Rows of one block to the ``most`` nearest within it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         node = rows["node"].to_numpy()
         vecs = _joined(rows["vec"], "<f4").reshape(len(node), -1)
         if len(node) < 2:
-            return pd.DataFrame({"node": [], "ids": [], "vals": []})
+            return pd.DataFrame(columns=[c.split()[0] for c in FOUND.split(", ")])
         score = vecs @ vecs.T
         np.fill_diagonal(score, -np.inf)
         k = min(most, len(node) - 1)
         near = np.argpartition(-score, k - 1, axis=1)[:, :k]
-        return _rows(node, np.arange(0, near.size, k), node[near].ravel(), np.take_along_axis(score, near, 1).ravel())
+        return _rows(node, np.arange(0, near.size, k), node[near].ravel(), np.take_along_axis(score, near, 1).ravel(), blocks)
 
     return run
 
@@ -116,8 +131,8 @@ def _merge(turn: int, degree: int, sample: int):
             other.append(np.frombuffer(ids, "<i8"))
             val.append(np.frombuffer(vals, "<f4"))
             fresh.append(still)
-        for n, ids, vals in zip(finds["node"], finds["ids"], finds["vals"]):
-            node.append(np.full(len(ids) // 8, n))
+        for nodes, counts, ids, vals in zip(finds["nodes"], finds["counts"], finds["ids"], finds["vals"]):
+            node.append(np.repeat(np.frombuffer(nodes, "<i8"), np.frombuffer(counts, "<i4")))
             other.append(np.frombuffer(ids, "<i8"))
             val.append(np.frombuffer(vals, "<f4"))
             fresh.append(np.ones(len(ids) // 8, np.uint8))
@@ -129,18 +144,18 @@ def _merge(turn: int, degree: int, sample: int):
         made = {n: (best[a:b], score[a:b]) for n, a, b in zip(nodes.tolist(), begin, ends)}
         nothing = np.zeros(0, "<i8"), np.zeros(0, "<f4")
         out = []
-        for n, vec in zip(own["node"].tolist(), own["vec"]):
+        for home, n, vec in zip(own["home"], own["node"].tolist(), own["vec"]):
             ids, vals = made.get(n, nothing)
             new = np.fromiter(((n, i) not in old for i in ids.tolist()), np.uint8, len(ids))
             worst = float(vals[-1]) if len(vals) == degree else -np.inf
-            out.append((n, vec, ids.tobytes(), vals.tobytes(), new.tobytes(), worst, int(new.sum())))
+            out.append((home, n, vec, ids.tobytes(), vals.tobytes(), new.tobytes(), worst, int(new.sum())))
         return pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")])
 
     return run
 
 
 def _forward(turn: int, sample: int):
-    """State rows to (v, member, fresh, draw): what every node lists."""
+    """State rows to what every node lists: (v, member, fresh)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -157,11 +172,11 @@ def _forward(turn: int, sample: int):
     return run
 
 
-def _compare(degree: int):
+def _compare(degree: int, blocks: int):
     """One block: lists (v, member, fresh) and the vectors they name to the finds of every named node."""
 
     def run(lists: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"node": [], "ids": [], "vals": []})
+        empty = pd.DataFrame(columns=[c.split()[0] for c in FOUND.split(", ")])
         if not len(lists) or not len(vectors):
             return empty
         names = vectors["name"].to_numpy()
@@ -193,7 +208,7 @@ def _compare(degree: int):
         if not to:
             return empty
         to, found, val = (np.concatenate(x) for x in (to, found, val))
-        return _rows(*_packed(names[to], names[found], val.astype("<f4"), degree))
+        return _rows(*_packed(names[to], names[found], val.astype("<f4"), degree), blocks)
 
     return run
 
@@ -202,10 +217,11 @@ def neighbour_graph(nodes: DataFrame, *, degree: int = DEGREE, sample: int = SAM
     """State rows of (node, vec): every node with its best neighbours' ids and values, best first."""
     n = nodes.count()
     blocks, wide = -(-n // BLOCK) or 1, -(-n // START) or 1
-    blank = nodes.select("node", "vec", *[F.lit(b"").alias(c) for c in ("ids", "vals", "new")], F.lit(float("-inf")).cast("float").alias("worst"), F.lit(0).alias("n_new"))
+    homed = nodes.mapInPandas(lambda batches: (rows.assign(home=_homes(rows["node"].to_numpy(), blocks)) for rows in batches), "node long, vec binary, home int")
+    blank = homed.select("home", "node", "vec", *[F.lit(b"").alias(c) for c in ("ids", "vals", "new")], F.lit(float("-inf")).cast("float").alias("worst"), F.lit(0).alias("n_new"))
     deals = range(1 if wide == 1 else 2)
-    near = [nodes.withColumn("deal", _block("node", wide, 100 + d)).groupBy("deal").applyInPandas(_within(degree // len(deals)), FOUND) for d in deals]
-    state = _merged(blank, near, blocks, -1, degree, sample, "graph")
+    near = [nodes.withColumn("deal", _block("node", wide, 100 + d)).groupBy("deal").applyInPandas(_within(degree // len(deals), blocks), FOUND) for d in deals]
+    state = _merged(blank, near, -1, degree, sample, "graph")
     turn = 0
     while True:
         changed = state.agg(F.sum("n_new")).first()[0] or 0
@@ -219,18 +235,18 @@ def neighbour_graph(nodes: DataFrame, *, degree: int = DEGREE, sample: int = SAM
         lists = materialize(forward.unionByName(named).withColumn("block", _block("v", blocks, 1)), "lists")
         asked = lists.select(F.col("block").alias("for_block"), F.col("member").alias("name")).distinct()
         vectors = asked.join(state.select(F.col("node").alias("name"), "vec", "worst"), "name")
-        finds = lists.groupBy("block").cogroup(vectors.groupBy("for_block")).applyInPandas(_compare(degree), FOUND)
-        after = _merged(state, [finds], blocks, turn, degree, sample, "graph")
+        finds = lists.groupBy("block").cogroup(vectors.groupBy("for_block")).applyInPandas(_compare(degree, blocks), FOUND)
+        after = _merged(state, [finds], turn, degree, sample, "graph")
         for done in (state, forward, lists):
             release(done)
         state, turn = after, turn + 1
 
 
-def _merged(state: DataFrame, finds: list[DataFrame], blocks: int, turn: int, degree: int, sample: int, name: str) -> DataFrame:
+def _merged(state: DataFrame, finds: list[DataFrame], turn: int, degree: int, sample: int, name: str) -> DataFrame:
     rows = state
     for f in finds:
-        rows = rows.unionByName(f, allowMissingColumns=True)
-    return materialize(rows.groupBy(_block("node", blocks, 1)).applyInPandas(_merge(turn, degree, sample), STATE), name)
+        rows = rows.unionByName(f.withColumn("node", F.lit(0).cast("long")), allowMissingColumns=True)  # no null, or pandas makes them doubles
+    return materialize(rows.groupBy("home").applyInPandas(_merge(turn, degree, sample), STATE), name)
 
 
 def _links(state: DataFrame, degree: int) -> DataFrame:
