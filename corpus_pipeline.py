@@ -28,7 +28,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact or near copies: the smallest id.
 
-    Fingerprint distances stand for a similarity of 0.8 on five words. All null, empty and blank texts are one group. Of repeated rows one stays.
+    Groups are the components of op1: SimHashes of four-word shingles within four bits. All null, empty and blank texts are one group. Of repeated rows one stays.
     """
     return simhash.keep_one(docs)
 
@@ -36,8 +36,10 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words with a benchmark item; texts without words stay."""
     hit = winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
-    hit = materialize(hit.select(F.col("text_hash").alias("hit_hash")).distinct(), "contaminated")
-    return docs.join(hit, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("hit_hash"), "left_anti")
+    hit = materialize(hit.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct(), "contaminated")
+    # The id is compared too: a 64-bit hash alone would drop documents that share it.
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("hit_hash"))
+    return docs.join(hit, same, "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +72,7 @@ STAGES = [
     ("shard", sharded),
 ]
 
-#: A learnt classifier and word shingles under SimHash have no SQL form; tests/llm compare with plain versions.
+#: A learnt classifier and SimHash components have no SQL form; tests/llm compare with plain versions.
 ORACLE_SQL = None
 
 
