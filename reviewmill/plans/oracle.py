@@ -528,6 +528,7 @@ SELECT doc_id, term, tf, round(tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PA
 FROM all_tc JOIN (SELECT term, ln((1.0 + (SELECT n FROM dict_n)) / (1.0 + count(*))) + 1.0 AS idf FROM all_tc GROUP BY 1
   HAVING count(*) >= 10 AND count(*) <= 0.95 * (SELECT n FROM dict_n)) USING (term)"""
     ),
+    "row_numbers": "SELECT doc_id, source, row_number() OVER (ORDER BY source NULLS FIRST, doc_id) AS row_number FROM documents",
     "argmax_class": f"""
 SELECT vec_id, (list_position(s, list_max(s)) - 1)::INTEGER AS predicted FROM (
   SELECT vec_id, list(embedding[i]::DOUBLE - 0.5 * embedding[i + {fx.N_SCORES}]::DOUBLE ORDER BY i) AS s

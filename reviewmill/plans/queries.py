@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reviewmill.functions import text as tx
 from reviewmill.operators import classify, coherence, dedup, embedding_topics, features, labels, language, lemma
 from reviewmill.operators import doc_vectors as doc_vecs
-from reviewmill.operators import lda, metrics, nmf, phrases, profile, sentiment, split, vocab, words
+from reviewmill.operators import lda, metrics, nmf, phrases, profile, sentiment, split, svd, vocab, words
 from reviewmill.plans import fixtures as fx
 from reviewmill.plans import reviews
 from reviewmill.session import literal_table, materialize, shared_folder
@@ -57,8 +57,8 @@ def shared_table(make: Query) -> Query:
 
 @shared_table
 def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its clean tokens."""
-    return reviews.with_clean_tokens(fx.documents(spark, sf_dir), DOC).select("doc_id", "lang", "tokens")
+    """Every document with its clean tokens, digest and length flag: the one pass over the texts."""
+    return reviews.narrow_reviews(fx.documents(spark, sf_dir), DOC, "lang")
 
 
 def stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +68,9 @@ def stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @shared_table
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """De-duplicated, cleaned, lemmatised, non-empty documents in the wanted languages: what all later steps read."""
-    model = language_model(clean_texts(spark, sf_dir))
+    model = language_model(spark, sf_dir)
     docs = fx.documents(spark, sf_dir).select("doc_id", "text")
-    return reviews.clean_reviews(docs, DOC, model, use_lemmas=True, with_text=False)
+    return reviews.clean_reviews(docs, DOC, model, use_lemmas=True, with_text=False, narrow=tokenised(spark, sf_dir))
 
 
 @shared_table
@@ -100,9 +100,14 @@ def training_part() -> Column:
     return F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8"
 
 
-def language_model(labelled: DataFrame) -> language.LanguageModel:
-    """Profiles trained on the training part of (doc_id, lang, clean) rows."""
-    return language.LanguageModel(language.language_profiles(labelled.filter(training_part()), "clean", "lang"))
+@shared_table
+def trained_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles trained on the training part of the documents, once."""
+    return language.language_profiles(clean_texts(spark, sf_dir).filter(training_part()), "clean", "lang")
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> language.LanguageModel:
+    return language.LanguageModel(trained_profiles(spark, sf_dir))
 
 
 def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +133,13 @@ def scan_reviews(spark, sf_dir):
     return sources.read_csv(spark, path, "doc_id bigint, source string, text string")
 
 
+@query
+def row_numbers(spark, sf_dir):
+    """Documents numbered without gaps by source, then id."""
+    numbered = sources.with_row_numbers(fx.documents(spark, sf_dir).select("doc_id", "source"), "source", "doc_id")
+    return numbered.select("doc_id", "source", "row_number")
+
+
 @query
 def head_rows(spark, sf_dir):
     return profile.head_rows(fx.documents(spark, sf_dir).select("doc_id", "source", "text"), "doc_id", 5)
@@ -155,7 +167,8 @@ def source_counts(spark, sf_dir):
 
 @query
 def stage_counts(spark, sf_dir):
-    return reviews.cleaning_audit(fx.documents(spark, sf_dir), DOC, language_model(clean_texts(spark, sf_dir)))
+    docs = fx.documents(spark, sf_dir)
+    return reviews.cleaning_audit(docs, DOC, narrow=tokenised(spark, sf_dir), detected=_detected(spark, sf_dir))
 
 
 @query
@@ -258,12 +271,13 @@ def topic_tokens(spark, sf_dir):
 
 @query
 def language_profiles(spark, sf_dir):
-    return language.language_profiles(clean_texts(spark, sf_dir).filter(training_part()), "clean", "lang")
+    return trained_profiles(spark, sf_dir)
 
 
-def _detected(spark, sf_dir) -> DataFrame:
-    texts = clean_texts(spark, sf_dir)
-    return language_model(texts).detect(texts, "doc_id", "clean")
+@shared_table
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, found once for all queries that ask for it."""
+    return language_model(spark, sf_dir).detect(clean_texts(spark, sf_dir), "doc_id", "clean")
 
 
 @query
@@ -600,7 +614,23 @@ def nmf_topics(spark, sf_dir):
 def nmf_best_k(spark, sf_dir):
     docs, weights = _nmf_inputs(spark, sf_dir)
     dictionary = vocab.fixed_vocabulary(docs, "topic_tokens")
-    return _sweep_table(spark, nmf.sweep(docs, "doc_id", "topic_tokens", weights, dictionary, tol=1e-3))
+    return _sweep_table(spark, nmf.sweep(docs, "doc_id", "topic_tokens", weights, dictionary))
+
+
+@query
+def nmf_doc_topics(spark, sf_dir):
+    """The dominant topic of every text and its weight."""
+    _, weights = _nmf_inputs(spark, sf_dir)
+    return nmf.fit_nmf(weights, "doc_id", 4).doc_topics("doc_id")
+
+
+@query
+def tfidf_svd(spark, sf_dir):
+    """Singular values of the TF-IDF table and the share of its squares they capture."""
+    _, weights = _nmf_inputs(spark, sf_dir)
+    found = svd.truncated_svd(nmf.stored_weights(weights, "doc_id"), "doc_id", 9, tol=1e-4)
+    rows = [(i + 1, s, share) for i, (s, share) in enumerate(zip(found.sigma, found.shares(), strict=True))]
+    return literal_table(spark, rows, "component int, sigma double, share double")
 
 
 @query

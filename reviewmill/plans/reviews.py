@@ -24,24 +24,31 @@ def with_clean_tokens(df: DataFrame, config: PlatformConfig, out: str = "tokens"
     return with_once(df, **{out: clean_tokens(F.col(config.text_col), config)})
 
 
+def narrow_reviews(df: DataFrame, config: PlatformConfig, *extra: str) -> DataFrame:
+    """(id, *extra, __key, is_long, tokens): all that later steps need of the texts, in one pass over them."""
+    text = F.col(config.text_col)
+    narrow = df.select(config.id_col, *extra, text_key(text).alias("__key"), has_min_words(text, config.min_words).alias("is_long"), config.text_col)
+    return with_clean_tokens(narrow, config).drop(config.text_col)
+
+
 def marked_reviews(
     df: DataFrame,
     config: PlatformConfig,
     languages: LanguageModel | None = None,
     lemmas: DataFrame | None = None,
     use_lemmas: bool = False,
+    narrow: DataFrame | None = None,
+    detected: DataFrame | None = None,
 ) -> DataFrame:
     """(id, is_long, is_repeat, tokens, review_cleaned[, detected_lang]) of every input row.
 
     One narrow pass over the texts makes digest, length flag and tokens and is stored;
     first ids, lemmas and languages are found from it and meet it on the id. Filtering
-    on the flags gives the cleaned table, counting them the stage audit.
+    on the flags gives the cleaned table, counting them the stage audit. A stored result of
+    ``narrow_reviews`` or of the detection (id, detected_lang) is taken instead of made anew.
     """
     key = config.id_col
-    text = F.col(config.text_col)
-    narrow = df.select(key, text_key(text).alias("__key"), has_min_words(text, config.min_words).alias("is_long"), config.text_col)
-    narrow = with_clean_tokens(narrow, config).drop(config.text_col)
-    stored = materialize(narrow, "narrow")
+    stored = materialize(narrow_reviews(df, config), "narrow") if narrow is None else narrow.select(key, "__key", "is_long", "tokens")
     first = stored.filter("is_long").groupBy("__key").agg(F.min(key).alias(key)).select(key, F.lit(True).alias("__first"))
     marked = stored.drop("__key").join(first, key, "left")
     marked = marked.withColumn("is_repeat", F.col("is_long") & F.col("__first").isNull()).drop("__first")
@@ -50,7 +57,9 @@ def marked_reviews(
         tokens = materialize(lemmatize(tokens, key, "tokens", lemmas), "lemmas")
         marked = marked.drop("tokens").join(tokens, key)
     marked = marked.withColumn("review_cleaned", F.array_join("tokens", " "))
-    if languages is not None:
+    if detected is not None:
+        marked = marked.join(detected.select(key, "detected_lang"), key)
+    elif languages is not None:
         texts = tokens.select(key, F.array_join("tokens", " ").alias("review_cleaned"))
         marked = marked.join(languages.detect(texts, key, "review_cleaned"), key)
     return marked
@@ -70,13 +79,14 @@ def clean_reviews(
     lemmas: DataFrame | None = None,
     use_lemmas: bool = False,
     with_text: bool = True,
+    narrow: DataFrame | None = None,
 ) -> DataFrame:
     """De-duplicated, cleaned, non-empty reviews in the wanted languages.
 
     Adds tokens, review_cleaned and, with a language model, detected_lang to the
     columns of ``df``, without the raw text unless ``with_text``.
     """
-    marked = marked_reviews(df, config, languages, lemmas, use_lemmas)
+    marked = marked_reviews(df, config, languages, lemmas, use_lemmas, narrow)
     for _, keep in _keepers(marked, config):
         marked = marked.filter(keep)
     kept = marked.drop("is_long", "is_repeat")
@@ -84,9 +94,12 @@ def clean_reviews(
     return kept if again == [config.id_col] else df.select(*again).join(kept, config.id_col)
 
 
-def cleaning_audit(df: DataFrame, config: PlatformConfig, languages: LanguageModel | None = None) -> DataFrame:
+def cleaning_audit(
+    df: DataFrame, config: PlatformConfig, languages: LanguageModel | None = None,
+    narrow: DataFrame | None = None, detected: DataFrame | None = None,
+) -> DataFrame:
     """Rows before, after and removed for each cleaning filter."""
-    marked = marked_reviews(df, config, languages)
+    marked = marked_reviews(df, config, languages, narrow=narrow, detected=detected)
     return stage_counts(marked, _keepers(marked, config))
 
 

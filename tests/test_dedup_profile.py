@@ -88,3 +88,11 @@ def test_csv_round_trip(spark, tmp_path):
     assert sources.with_review_id(back).select("review_id").distinct().count() == 3
     inferred = sources.read_csv(spark, str(tmp_path / "csv"))
     assert dict(inferred.dtypes) == {"id": "int", "text": "string"}
+
+
+def test_row_numbers_have_no_gaps(spark):
+    rows = literal_table(spark, [(i, "hot" if i % 3 else None) for i in range(500)], "id bigint, name string").repartition(7)
+    got = sorted(sources.with_row_numbers(rows, "name", "id").collect(), key=lambda r: r["row_number"])
+    assert [r["row_number"] for r in got] == list(range(1, 501))
+    assert [(r["name"], r["id"]) for r in got] == [(None, i) for i in range(0, 500, 3)] + [("hot", i) for i in range(500) if i % 3]
+    assert sources.with_row_numbers(rows.filter("id < 0"), "id").count() == 0

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewmill.operators import classify, coherence, doc_vectors, embedding_topics, lda, nmf, phrases, vocab
+from reviewmill.operators import classify, coherence, doc_vectors, embedding_topics, lda, nmf, phrases, svd, vocab
 from reviewmill.operators.features import Tfidf
 from reviewmill.operators.lemma import lemmatize
 from reviewmill.session import literal_table, materialize
@@ -222,3 +222,36 @@ def test_document_vectors(spark):
     got = {r["id"]: r["vector"] for r in doc_vectors.document_vectors(rows, "id", "tokens", size=200).collect()}
     assert got[0] == got[1] and got[3] == [0.0] * 200 and len(got[2]) == 200
     assert {round(abs(x), 6) for x in got[0]} == {0.0, round(math.sqrt(2), 6)}
+
+
+def sparse(draw, n_rows, n_terms, density=0.4):
+    x = draw.random((n_rows, n_terms)) * (draw.random((n_rows, n_terms)) < density)
+    return x, [(i, f"t{j:03d}", float(x[i, j])) for i, j in zip(*np.nonzero(x))]
+
+
+def test_truncated_svd_and_nmf_start(spark):
+    """Against a dense decomposition; the start is the same whatever signs the vectors have."""
+    x, rows = sparse(np.random.default_rng(3), 60, 30)
+    found = svd.truncated_svd(literal_table(spark, rows, "id bigint, term string, x double"), "id", 5, tol=1e-7)
+    u, s, vt = np.linalg.svd(x)
+    assert np.allclose(found.sigma, s[:5], rtol=1e-5)
+    assert found.shares()[0] == pytest.approx(s[0] ** 2 / (x**2).sum())
+    right = np.array([r["f"] for r in sorted(found.v.collect())])
+    left = np.array([r["f"] for r in sorted(found.u.collect())])
+    assert np.abs(left.T @ left - np.eye(5)).max() < 1e-8 and np.allclose(x.T @ left, right * found.sigma, atol=1e-9)
+    got = np.array([r["h"] for r in sorted(svd.nmf_start(found, 5).collect())]).T
+    want = [np.sqrt(s[0]) * np.abs(vt[0])]
+    for t in range(1, 5):
+        sides = [(np.maximum(g * u[:, t], 0), np.maximum(g * vt[t], 0)) for g in (1, -1)]
+        a, b = max(sides, key=lambda p: np.linalg.norm(p[0]) * np.linalg.norm(p[1]))
+        want.append(np.sqrt(s[t] * np.linalg.norm(a) * np.linalg.norm(b)) * b / np.linalg.norm(b))
+    assert np.allclose(got, np.where(np.array(want) > 0, want, x.mean()), atol=0.02)
+
+
+def test_nmf_runs_until_it_stands(spark):
+    x, rows = sparse(np.random.default_rng(4), 50, 20)
+    model = nmf.fit_nmf(literal_table(spark, rows, "id bigint, term string, weight double"), "id", 3)
+    assert all(a >= b - 1e-9 for a, b in zip(model.losses, model.losses[1:]))
+    assert len(model.losses) > 2 and model.losses[-2] - model.losses[-1] < 1e-4 * model.losses[0]
+    best = ((x - (lambda d: (d[0][:, :3] * d[1][:3]) @ d[2][:3])(np.linalg.svd(x))) ** 2).sum()
+    assert best <= model.losses[-1] <= 1.25 * best
