@@ -7,7 +7,7 @@ from tests.llm.conftest import EXTRA, SF
 
 
 def code(vector):
-    return sum(1 << i for i, x in enumerate(vector[:64]) if x > 0)
+    return sum(1 << i for i, x in enumerate(vector) if x > 0)
 
 
 def plain(rows, k=10):
@@ -39,3 +39,20 @@ def test_copies_ties_and_odd_rows(spark):
     few = frame.filter("vec_id in (0, 1, 2)")
     assert rows_of(topk.nearest_codes(few)) == plain([r for r in rows if r[0] in (0, 1, 2)])
     assert topk.nearest_codes(frame.limit(0)).count() == 0
+
+
+def test_an_id_with_several_vectors(spark):
+    """Its own rows take no places: seven query rows of one id among 18 others get ten each."""
+    draw = random.Random(2)
+    vector = lambda: [draw.choice([-1.0, 1.0]) for _ in range(8)]
+    rows = [(0, vector()) for _ in range(30)] + [(i, vector()) for i in range(1, 19)] + [(40, vector()) for _ in range(3)]
+    got = rows_of(topk.nearest_codes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got == plain(rows)
+    assert len(got) == 10 * len({(i, code(v)) for i, v in rows if i % 20 == 0})
+
+
+def test_all_dimensions_count(spark):
+    draw = random.Random(3)
+    base = [draw.choice([-1.0, 1.0]) for _ in range(150)]
+    rows = [(i, base[:64] + [x * draw.choice([1, 1, 1, 1, -1]) for x in base[64 : 150 - i % 7]]) for i in range(90)]
+    assert rows_of(topk.nearest_codes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == plain(rows)
