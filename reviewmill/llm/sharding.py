@@ -128,11 +128,13 @@ def reshard(
     The law is ``bytes``: the shards' sizes are as near equal as whole blocks allow.
     ``old_shard`` (0 to n_shards - 1) defaults to where a hash of the text puts the
     document; equal texts share a block, hence a shard, as long as they share an old
-    one. A group larger than a shard is cut into pieces by document id, since no
+    one. A group larger than a shard is cut into pieces by a stored row number, since no
     shard could hold it. With ``carry`` a column ``row`` has the document's own columns.
 
     A null text counts as empty (size 1, CRC 0). Null ids and repeated rows are
-    rows like any other, each with its own slot. An empty table gives an empty table.
+    rows like any other, each with its own slot, and spread like others. Very long texts
+    are read for size and hash only. Other columns, whatever their names, appear in
+    ``row`` alone. An empty table gives an empty table.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     block = F.pmod("text_hash", F.lit(n_shards * BLOCKS))
@@ -143,10 +145,11 @@ def reshard(
         (old_shard if old_shard is not None else F.lit(None)).cast("int").alias("given"), *carried,
     )
     whole = whole.withColumn("old_shard", F.coalesce("given", F.floor(block / BLOCKS).cast("int"))).withColumn("block", block).drop("given")
-    rows = materialize(whole.drop("row"), "sizes")
+    # Stored, so that a row has one number in all that follows.
+    rows = materialize(whole.withColumn("number", F.monotonically_increasing_id()), "sizes")
     total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     if not n_rows:
-        return _numbered(whole.withColumn("shard", F.lit(0)), 1, carry)
+        return _numbered(rows.withColumn("shard", F.lit(0)).withColumn("part", F.lit(0)), 1, carry)
 
     # At most n_shards * HEAVY groups pass, whatever the input: their sizes add up to the total at most.
     share = max(1, total // n_shards)
@@ -155,7 +158,7 @@ def reshard(
     large = literal_table(rows.sparkSession, pieces, "text_hash long, pieces long")
 
     def in_blocks(frame: DataFrame) -> DataFrame:
-        cut = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(0)
+        cut = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("number"), F.col("pieces"))).otherwise(0)
         alone = F.col("pieces").isNotNull()
         return frame.join(F.broadcast(large), "text_hash", "left").withColumn("part", F.when(alone, cut)).withColumn("block", F.when(alone, F.col("text_hash")).otherwise(F.col("block")))
 
@@ -168,13 +171,17 @@ def reshard(
         "to_old int, to_block long, to_part long, shard int",
     )
     same = (F.col("old_shard") == F.col("to_old")) & (F.col("block") == F.col("to_block")) & F.col("part").eqNullSafe(F.col("to_part"))
-    return _numbered(in_blocks(whole if carry else rows).join(F.broadcast(plan), same), max(n_shards, n_rows // SLOT_ROWS), carry)
+    return _numbered(in_blocks(rows).join(F.broadcast(plan), same), max(n_shards, n_rows // SLOT_ROWS), carry)
 
 
 def _numbered(rows: DataFrame, chunks: int, carry: bool) -> DataFrame:
-    """Gapless slots: rows are ranked in chunks, and each chunk starts where those before it end."""
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(chunks)))
-    rank = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_hash")) - 1
+    """Gapless slots: rows are ranked in chunks, and each chunk starts where those before it end.
+
+    Rows of a heavy group of texts, which may all have one id, go to chunks by number.
+    """
+    key = F.when(F.col("part").isNull(), F.xxhash64("doc_id", "text_hash")).otherwise(F.xxhash64("number"))
+    rows = rows.withColumn("chunk", F.pmod(key, F.lit(chunks)))
+    rank = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_hash", "number")) - 1
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.select("shard", "chunk").groupBy("shard", "chunk").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
     return rows.withColumn("rank", rank).join(starts.drop("n"), ["shard", "chunk"]).select(

@@ -53,6 +53,19 @@ def test_a_group_of_a_third_of_all_rows(spark):
     assert len(placed) == 6000 and max(size.values()) < 1.02 * min(size.values())
 
 
+def test_a_heavy_group_without_ids(spark):
+    """Rows of one text and no id, or one id, are cut like others; slots stay gapless."""
+    rows = spark.range(6000).selectExpr("if(id % 2 = 0, null, 7) doc_id", "if(id % 3 = 0, concat('text number ', id), 'one hot text of many copies') text")
+    placed = sharding.reshard(rows, carry=True).collect()
+    size, slots = Counter(), defaultdict(list)
+    for r in placed:
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        assert r.size == len(r.row.text) + 1 and r.text_crc32 == zlib.crc32(r.row.text.encode())
+    assert len(placed) == 6000 and max(size.values()) < 1.05 * min(size.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_odd_rows(spark, odd, empty):
     rows = sharding.reshard(odd).collect()
     assert len(rows) == len(ODD)
