@@ -7,13 +7,17 @@ the article or main element with most of their text, or in a page without such
 elements the lowest element with nearly all of it. Its lines are the text, and those
 of other article and main elements that lie in clusters; without elements whose tag or
 role says that they are something else. Classes and ids say so only of elements that
-hold a small part of the clustered text: layouts use the same names for wrappers.
+hold a small part of the clustered text: layouts use the same names for wrappers. So
+does a form with paragraphs or headings in it: some servers wrap whole pages in one.
+
+Open elements are counted by tag and ancestors are summed bottom-up, so deep nesting
+costs no more than flat pages.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -32,7 +36,7 @@ INLINE = frozenset(
 )
 #: Elements that never hold article text.
 LEFT_OUT = frozenset(
-    "head title script style noscript template nav header footer aside menu form button select option textarea input dialog iframe object embed svg canvas audio video map".split()
+    "head title script style noscript template nav header footer aside menu button select option textarea input dialog iframe object embed svg canvas audio video map".split()
 )
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: First or last part of a class or id that marks something beside the article, unless it holds most of the page.
@@ -44,6 +48,7 @@ LEFT_OUT_NAMES = frozenset(
 )
 #: Those of them that themes also give to wrappers of the article.
 LAYOUT_NAMES = frozenset("promo promos promotion banner banners notice notices alert sidebar sidebars aside nav header masthead footer widget widgets modal overlay search form".split())
+FORM_TEXT = frozenset("article main section p h1 h2 h3".split())  # what a form has that wraps a page
 NOT_SAID = frozenset("has with no without is not".split())
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -72,6 +77,8 @@ def left_out(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 def named(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[frozenset[str], bool] | None:
     """The classes and ids that mark something beside the article, and whether all are layout names; None without any."""
+    if tag == "form":
+        return frozenset(["<form>"]), True
     found = {}
     if tag not in ("html", "body", "article", "main"):
         for word in " ".join(value or "" for name, value in attrs if name in ("class", "id")).split():
@@ -81,8 +88,8 @@ def named(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[frozenset[str]
     return (frozenset(found), all(found.values())) if found else None
 
 
-#: Text, whether it is a link's, the named elements around it.
-Piece = tuple[str, bool, tuple[int, ...]]
+#: Text, whether it is a link's, the innermost named element around it (-1: none).
+Piece = tuple[str, bool, int]
 
 
 class Lines(HTMLParser):
@@ -98,10 +105,17 @@ class Lines(HTMLParser):
         self.text: list[Piece] = []
         self.tags = 0
         self.names: list[tuple[frozenset[str], bool]] = []  # of each named element
-        self.within: tuple[int, ...] = ()  # open named elements
+        self.around: list[int] = []  # of each named element: the named element around it
+        self.alike: list[int] = []  # and the innermost around it with the same names
+        self.within: list[int] = []  # open named elements
+        self.open_names: dict[frozenset[str], list[int]] = defaultdict(list)
+        self.forms: list[int] = []  # open forms
+        self.wrappers: set[int] = set()  # forms with paragraphs or headings
+        self.containers: list[int] = []  # open containers
+        self.open_tags: Counter[str] = Counter()
 
     def container(self) -> int:
-        return next((n for _, n, _, _ in reversed(self.stack) if n >= 0), -1)
+        return self.containers[-1] if self.containers else -1
 
     def end_line(self) -> None:
         if any(data.strip() for data, _, _ in self.text):
@@ -114,12 +128,19 @@ class Lines(HTMLParser):
         if number >= 0 or tag not in INLINE:
             self.end_line()
         self.stack.pop()
+        self.open_tags[tag] -= 1
         self.outside -= out
+        if number >= 0:
+            self.containers.pop()
         if has_name:
-            self.within = self.within[:-1]
+            self.open_names[self.names[self.within.pop()][0]].pop()
+        if tag == "form":
+            self.forms.pop()
         self.links -= tag == "a"
 
     def close_open(self, tags: set[str] | frozenset[str], border: set[str]) -> None:
+        if not any(self.open_tags[tag] for tag in tags):
+            return
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] in tags:
                 while len(self.stack) > depth:
@@ -136,7 +157,9 @@ class Lines(HTMLParser):
         if tag in IMPLIED:
             self.close_open(*IMPLIED[tag])
         if tag == "br":
-            self.text.append((" ", False, ()))
+            self.text.append((" ", False, -1))
+        if self.forms and tag in FORM_TEXT:
+            self.wrappers.add(self.forms[-1])
         self.tags += 1
         if tag in VOID:
             if tag not in INLINE and tag != "br":
@@ -150,9 +173,18 @@ class Lines(HTMLParser):
                 self.parent.append((tag, self.container()))
         out, names = left_out(tag, attrs), named(tag, attrs)
         self.stack.append((tag, number, out, names is not None))
+        self.open_tags[tag] += 1
+        if number >= 0:
+            self.containers.append(number)
         if names:
-            self.within = (*self.within, len(self.names))
+            new, same = len(self.names), self.open_names[names[0]]
+            self.around.append(self.within[-1] if self.within else -1)
+            self.alike.append(same[-1] if same else -1)
             self.names.append(names)
+            self.within.append(new)
+            same.append(new)
+            if tag == "form":
+                self.forms.append(new)
         self.outside += out
         self.links += tag == "a"
 
@@ -162,13 +194,13 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag == "br":
-            self.text.append((" ", False, ()))
+            self.text.append((" ", False, -1))
         elif tag not in VOID:
             self.close_open({tag}, set() if tag not in INLINE else ENDS_PARAGRAPH - {"p"})
 
     def handle_data(self, data: str) -> None:
         if not self.outside:
-            self.text.append((data, self.links > 0, self.within))
+            self.text.append((data, self.links > 0, self.within[-1] if self.within else -1))
 
 
 def joined(page: Lines, vetoed: set[int]) -> list[tuple[str, int, int, int]]:
@@ -176,7 +208,7 @@ def joined(page: Lines, vetoed: set[int]) -> list[tuple[str, int, int, int]]:
     lines, tags = [], 0
     for pieces, n, at in page.lines:
         tags += n
-        left = [(data, link) for data, link, names in pieces if not vetoed.intersection(names)]
+        left = [(data, link) for data, link, name in pieces if name not in vetoed]
         text = " ".join("".join(data for data, _ in left).split())
         if text:
             lines.append((text, tags, sum(len(data.strip()) for data, link in left if link), at))
@@ -185,31 +217,38 @@ def joined(page: Lines, vetoed: set[int]) -> list[tuple[str, int, int, int]]:
 
 
 def vetoes(page: Lines) -> set[int]:
-    """Named elements that are left out.
+    """Named elements that are left out, with the named elements in them.
 
-    First go those with another name than of layout, unless one holds nearly all of the
-    clustered text. Of the text that is left a layout element may hold half at most, and
-    so may all elements with the same names together.
+    First go forms that hold neither paragraph nor heading, then those with another name
+    than of layout, unless one holds nearly all of the clustered text. Of the text that is
+    left a layout element may hold half at most, and so may all elements with the same
+    names together.
     """
     if not page.names:
         return set()
     inside = clusters(joined(page, set()))[0]
-    parts = [(len(data.strip()), names) for (pieces, _, _), near in zip(page.lines, inside, strict=True) if near for data, link, names in pieces if not link]
-    vetoed: set[int] = set()
-    for layout, most in ((False, NEARLY_ALL), (True, HALF)):
-        parts = [(n, names) for n, names in parts if not vetoed.intersection(names)]
-        most *= sum(n for n, _ in parts)
-        held: dict[int, int] = defaultdict(int)
-        for n, names in parts:
-            for k in names:
-                held[k] += n
-        some = {k for k, (_, is_layout) in enumerate(page.names) if is_layout == layout and held[k] <= most}
+    own = [0] * (len(page.names) + 1)  # characters right in each named element; the last: in none
+    for (pieces, _, _), near in zip((line for line in page.lines if any(data.strip() for data, _, _ in line[0])), inside, strict=True):
+        for data, link, name in pieces if near else ():
+            own[name] += 0 if link else len(data.strip())
+    gone = [words == {"<form>"} and k not in page.wrappers for k, (words, _) in enumerate(page.names)]
+    for layout, most in ((None, 0.0), (False, NEARLY_ALL), (True, HALF)):
+        # An element comes after those around it.
+        held = [0 if gone[k] else own[k] for k in range(len(gone))]
+        most *= sum(held) + own[-1]
+        for k in range(len(gone) - 1, -1, -1):
+            if page.around[k] >= 0:
+                held[page.around[k]] += held[k]
+        some = [is_layout == layout and held[k] <= most for k, (_, is_layout) in enumerate(page.names)]
         together: dict[frozenset[str], int] = defaultdict(int)
-        for n, names in parts:
-            for words in {page.names[k][0] for k in names if k in some}:
-                together[words] += n
-        vetoed |= {k for k in some if together[page.names[k][0]] <= most}
-    return vetoed
+        counted = [False] * len(gone)  # whether an element around it with the same names counts its text
+        for k, (words, _) in enumerate(page.names):
+            counted[k] = page.alike[k] >= 0 and (some[page.alike[k]] or counted[page.alike[k]])
+            if some[k] and not counted[k]:
+                together[words] += held[k]
+        for k, (words, _) in enumerate(page.names):
+            gone[k] |= (some[k] and together[words] <= most) or (page.around[k] >= 0 and gone[page.around[k]])
+    return {k for k, out in enumerate(gone) if out}
 
 
 def clusters(lines: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,27 +267,36 @@ def content_lines(lines: list[tuple[str, int, int, int]], parent: list[tuple[str
         return []
     clustered, size, linked = clusters(lines)
 
-    held: dict[int, float] = defaultdict(float)
+    held = [0.0] * len(parent)
     weights = np.where(clustered, size - linked, 1e-3 * size)  # lines outside the clusters only decide between elements without any
     for (_, _, _, at), n in zip(lines, weights, strict=True):
-        while at >= 0:
+        if at >= 0:
             held[at] += n
-            at = parent[at][1]
+    # A container's number is larger than that of the one around it; only those with lines in them count.
+    filled = [False] * len(parent)
+    for _, _, _, at in lines:
+        if at >= 0:
+            filled[at] = True
+    for n in range(len(parent) - 1, -1, -1):
+        around = parent[n][1]
+        if around >= 0:
+            held[around] += held[n]
+            filled[around] |= filled[n]
     # Numbers grow with depth along a path: of all that hold enough, the largest number lies lowest.
-    marks = [n for n in held if parent[n][0] in ("article", "main")]
+    marks = [n for n in range(len(parent)) if filled[n] and parent[n][0] in ("article", "main")]
     landmark = bool(marks)
     most = max((held[n] for n in marks), default=0) / 2 if landmark else NEARLY_ALL * weights.sum()
-    root = max((n for n in marks or held if held[n] >= most), default=-1)
+    root = max((n for n in marks or range(len(parent)) if filled[n] and held[n] >= most), default=-1)
+    under, marked = [False] * len(parent), [False] * len(parent)
+    for n, (tag, around) in enumerate(parent):
+        under[n] = n == root or (around >= 0 and under[around])
+        marked[n] = tag in ("article", "main") or (around >= 0 and marked[around])
     kept = []
     for (text, _, _, at), inside, n, links in zip(lines, clustered, size, linked, strict=True):
-        marked = False
-        while at > root >= 0 or (at >= 0 and landmark and at != root):
-            marked |= parent[at][0] in ("article", "main")
-            at = parent[at][1]
-        if at == root or root < 0:
+        if root < 0 or (at >= 0 and under[at]):
             take = landmark or inside or links < n / 2
         else:  # the other landmarks give their clustered lines
-            take = marked and inside and links < n / 2
+            take = landmark and at >= 0 and marked[at] and inside and links < n / 2
         if take:
             kept.append(text)
     return kept
@@ -281,7 +329,9 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     """One row per page: page_id, url, text, n_chars.
 
     Null ids and urls and repeated rows stay as they are; a null, empty or textless
-    page has the empty text. An empty table gives an empty table.
+    page has the empty text. Very long pages are read whole, in time that grows with
+    their length; other columns, whatever their names, are dropped. An empty table gives
+    an empty table.
     """
     made = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), text_column(F.col(f"`{html_col}`")).alias("text"))
     return made.withColumn("n_chars", F.length("text").cast("long"))

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -63,6 +64,24 @@ def test_split_articles():
     assert main_text(f"<main><article><p>{LONG * 6}</p></article><p>{LONG * 4}</p></main>") == f"{LONG * 10}".strip()
 
 
+def test_a_form_around_the_page():
+    body = "".join(f"<p>Paragraph {i}. {LONG}</p>" for i in range(4))
+    want = " ".join(f"Paragraph {i}. {LONG}".strip() for i in range(4))
+    contact = "<form><label>Your name</label><input><label>" + LONG * 20 + "</label></form>"
+    assert main_text(f"<body><form action='/'><nav>menu</nav><div>{body}</div></form></body>") == want
+    assert main_text(f"<div>{body}</div>{contact}") == want
+    assert main_text(f"<div>{body}</div><form><p>Subscribe to our letter</p></form>") == want
+
+
+def test_deep_pages():
+    for tag in ("<div>", "<div class='widget'>", "<form><p>"):
+        start = time.perf_counter()
+        assert main_text(f"{tag}a " * 100_000).count("a") > 40_000  # of nested elements with one name the inner half goes
+        assert time.perf_counter() - start < 10
+    for n in range(3):
+        assert main_text("<div class='sidebar'>" * n + f"<p>{LONG}</p>" + "</div>" * n) == LONG.strip()
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None), (2, None, ""), (3, "v", "<p>" + "w " * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit("x").alias(c) for c in [*EXTRA, "text"]])
