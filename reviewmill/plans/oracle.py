@@ -353,6 +353,20 @@ _COHERENCE = """
   FROM cells JOIN sums USING (topic, v) GROUP BY 1, 2)
 SELECT topic, round(avg(c), 6) AS coherence FROM cosines GROUP BY 1"""
 
+# Distances to the ten nearest different vectors, core distances of five rows, mutual reachability.
+_REACHABILITY = """
+, point AS MATERIALIZED (SELECT v, min(doc_id) AS node, count(*) AS weight FROM (
+  SELECT doc_id, list(round(value, 6) + 0.0 ORDER BY dimension) AS v FROM doc_vec GROUP BY 1) GROUP BY v)
+, near AS MATERIALIZED (SELECT * FROM (
+  SELECT p.node, o.node AS other, p.weight, o.weight AS others, list_distance(p.v, o.v) AS d,
+    row_number() OVER (PARTITION BY p.node ORDER BY list_distance(p.v, o.v), o.node) AS nth
+  FROM point p, point o WHERE p.node <> o.node) WHERE nth <= 10)
+, core AS MATERIALIZED (SELECT node, CASE WHEN any_value(weight) >= 5 THEN 0.0 ELSE coalesce(min(d) FILTER (near_rows >= 5), max(d)) END AS core FROM (
+  SELECT *, weight + sum(others) OVER (PARTITION BY node ORDER BY d, other) AS near_rows FROM near) GROUP BY 1)
+, reach AS MATERIALIZED (SELECT least(n.node, n.other) AS a, greatest(n.node, n.other) AS b, min(greatest(n.d, c.core, o.core)) AS w
+  FROM near n JOIN core c ON c.node = n.node JOIN core o ON o.node = n.other GROUP BY 1, 2)
+"""
+
 ORACLE: dict[str, str] = {
     "scan_reviews": "SELECT doc_id, source, text FROM documents",
     "head_rows": "SELECT doc_id, source, text FROM documents ORDER BY doc_id LIMIT 5",
@@ -591,6 +605,14 @@ SELECT topic, rank, doc_id, similarity, substr(text, 1, 200) AS text FROM (
   FROM (SELECT d.topic, doc_id, text, CASE WHEN list_sum(list_transform(v, lambda x: x * x)) = 0 THEN 0 ELSE round(list_cosine_similarity(v, m), 6) END AS similarity
         FROM topic_docs d JOIN docv USING (doc_id) JOIN centre c ON c.topic = d.topic WHERE d.topic <> -1)) WHERE rank <= 3"""
     ),
+    "reachability_graph": _q(f"{_REACHABILITY} SELECT a, b, round(w, 6) AS w FROM reach"),
+    "reachability_components": _q(
+        f"""{_REACHABILITY}
+, low AS MATERIALIZED (SELECT a, b FROM reach WHERE w <= (SELECT avg(w) FROM reach))
+, links AS MATERIALIZED (SELECT a, b FROM low UNION SELECT b, a FROM low)
+, met(node, other) AS (SELECT DISTINCT a, a FROM links UNION SELECT m.node, l.b FROM met m JOIN links l ON l.a = m.other)
+SELECT node, min(other) AS root FROM met GROUP BY 1"""
+    ),
     "topic_membership": _q(
         _CENTRES.format(key="label", source="embeddings")
         + """

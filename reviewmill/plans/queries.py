@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.functions import text as tx
 from reviewmill.operators import classify, coherence, dedup, embedding_topics, features, labels, language, lemma
+from reviewmill.operators import density
 from reviewmill.operators import doc_vectors as doc_vecs
 from reviewmill.operators import lda, metrics, nmf, phrases, profile, sentiment, split, svd, vocab, words
 from reviewmill.plans import fixtures as fx
@@ -654,6 +655,38 @@ def embedding_topic_model(spark, sf_dir):
     return assigned.select("doc_id", "topic")
 
 
+@shared_table
+def reachability(spark, sf_dir):
+    """Mutual reachability of the ten nearest among all different document vectors, entries rounded to six digits."""
+    vectors = doc_vecs.document_vectors(stored_tokens(spark, sf_dir), "doc_id", "tokens", size=16)
+    vectors = vectors.select("doc_id", F.transform("vector", lambda x: F.round(x, 6) + F.lit(0.0)).alias("v"))
+    points = vectors.groupBy("v").agg(F.min("doc_id").alias("node"), F.count("*").alias("weight"))
+    points = materialize(points, "points")
+    return density.reachability_edges(points, density.nearest_neighbours(points, 10), 5)
+
+
+@query
+def reachability_graph(spark, sf_dir):
+    return rounded(reachability(spark, sf_dir), "w")
+
+
+@query
+def reachability_components(spark, sf_dir):
+    """Components of the edges of at most the mean weight in the spanning forest, which has those of the graph."""
+    edges = reachability(spark, sf_dir)
+    border = edges.agg(F.avg("w").alias("border"))  # one row
+    forest = density.spanning_forest(edges).join(F.broadcast(border), F.col("w") <= F.col("border"))
+    return density.forest_roots(materialize(forest.select("a", "b"), "below_mean"))
+
+
+@query
+def density_topics(spark, sf_dir):
+    """Topics whose number comes from the data: reduced document vectors, clusters of 20 or more, outliers -1."""
+    docs = stored_tokens(spark, sf_dir)
+    reduced = embedding_topics.reduce_vectors(doc_vecs.document_vectors(docs, "doc_id", "tokens"), "doc_id", "vector", 5)
+    return density.density_clusters(reduced, "doc_id", "reduced", min_size=20, min_samples=10, levels=16)
+
+
 def _topic_term_counts(spark, sf_dir) -> DataFrame:
     docs = fx.documents_with_topics(spark, sf_dir).select("doc_id", "topic").join(stored_tokens(spark, sf_dir), "doc_id")
     return materialize(embedding_topics.class_term_counts(docs, "topic", "tokens"), "class_counts")
