@@ -4,9 +4,12 @@ A vector's code has a bit per dimension, 1 if it is positive, in words of 64 bit
 are indexed by each of their m 16-bit segments. If two codes differ in at most
 m (s + 1) - 1 bits, some segment differs in at most s, so looking up all segment values
 within s bits of the query's finds every code that near. The segment radius s grows from
-0, and a round looks up the values at exactly s bits only: what earlier rounds found
-beyond the distance covered so far is kept for later. A query is done once its kth
-verified distance is within what s covers.
+0; a query is done once its kth verified distance is within what s covers.
+
+A round looks up all values within s bits and keeps the codes within the covered
+distance, few of all candidates; the others come again with the next radius. Lookups of
+the last radius are most of all lookups, while candidates kept from round to round would
+grow with queries times codes.
 
 A code is found by the first of its segments nearest to the query's and by no other, so
 no round finds a pair twice. Equal codes are one entry with their smallest ids, so copies
@@ -79,25 +82,23 @@ def nearest_codes(
     # Of a pair's segments the one with the fewest differing bits finds it, the first of equals.
     apart = [F.struct(F.bit_count(part).alias("bits"), F.lit(n).alias("segment")) for n, part in enumerate(p for bits in differing for p in _parts(bits))]
     finder = F.least(*apart)["segment"]
-    found, pending, s = None, None, 0
+    found, s = None, 0
     while not left.isEmpty():
-        flips = [sum(1 << b for b in bits) for bits in combinations(range(BITS), s)]
+        flips = [sum(1 << b for b in bits) for turned in range(s + 1) for bits in combinations(range(BITS), turned)]
         flips = F.split(F.lit(",".join(map(str, flips))), ",").cast("array<int>")  # one constant of the plan
         # A query asks for many values: spread the queries before that, not the one small file they are read from.
         probes = left.select("query").repartition(tasks).select("query", F.inline(_segments(F.col("query"), words)))
         probes = probes.select("query", "segment", "value", F.explode(flips).alias("flip"))
         probes = probes.select("query", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
         # The planner can't see how many values a query looks up; without the hint it may broadcast them.
-        fresh = probes.join(index.hint("shuffle_hash"), ["segment", "value"]).filter(finder == F.col("segment"))
-        fresh = fresh.select("query", "code", distance.alias("distance"))
-        near = materialize(fresh if pending is None else fresh.unionByName(pending.join(left, "query", "left_semi")), "near")
         covered = PER_WORD * words * (s + 1) - 1
-        of_id = near.filter(F.col("distance") <= covered).join(kept, "code").groupBy("query", "id").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
+        near = probes.join(index.hint("shuffle_hash"), ["segment", "value"]).filter((distance <= covered) & (finder == F.col("segment")))
+        near = materialize(near.select("query", "code", distance.alias("distance")), "near")
+        of_id = near.join(kept, "code").groupBy("query", "id").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
         done = of_id.groupBy("query").agg(F.sum("n").alias("n")).join(left, "query").filter("n >= wanted")
         done = materialize(done.select("query"), "done")
-        ready = near.filter(F.col("distance") <= covered).join(done, "query", "left_semi")
+        ready = near.join(done, "query", "left_semi")
         found = ready if found is None else found.unionByName(ready)
-        pending = near
         left = materialize(left.join(done, "query", "left_anti"), "left")
         s += 1
     if found is None:
