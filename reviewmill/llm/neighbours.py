@@ -10,7 +10,8 @@ for every block that it has finds for.
 
 A search starts from the query's own node, which is in the graph like any other, keeps a
 beam of the best nodes met and follows the links of the best not yet followed, until all
-of the beam are. The best of the beam are scored again in double precision on the original vectors.
+of the beam are. A node's row holds its links' vectors in 16 bits, so a query fetches the nodes that it
+follows, not every node it meets. The best of the beam are scored again in double precision on the original vectors.
 
 For vectors of unequal lengths the graph is built on the vectors with one more entry that
 makes all lengths equal, so that near there means a large inner product; the search uses inner products alone.
@@ -42,7 +43,7 @@ RESCORED = 64  # of them scored again in double precision
 
 STATE = "home int, node long, vec binary, ids binary, vals binary, new binary, worst float, n_new int"
 FOUND = "home int, nodes binary, counts binary, ids binary, vals binary"
-SEARCH = "query long, vec binary, ids binary, vals binary, followed binary, seen binary, wanted binary, n_open int"
+SEARCH = "query long, vec binary, ids binary, vals binary, followed binary, wanted binary, n_open int"
 
 
 def _joined(column: pd.Series, kind: str) -> np.ndarray:
@@ -249,8 +250,11 @@ def _merged(state: DataFrame, finds: list[DataFrame], turn: int, degree: int, sa
     return materialize(rows.groupBy("home").applyInPandas(_merge(turn, degree, sample), STATE), name)
 
 
-def _links(state: DataFrame, degree: int) -> DataFrame:
-    """(node, vec, links): a node's neighbours, and of the nodes that name it the ``degree`` nearest, as one binary."""
+def _links(state: DataFrame, degree: int, dims: int) -> DataFrame:
+    """(node, links, scales, codes): a node's neighbours, and of the nodes that name it the ``degree`` nearest, each with its first ``dims`` entries in 16 bits.
+
+    A search so asks for the nodes that it follows only, not for all that it meets.
+    """
 
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -258,49 +262,59 @@ def _links(state: DataFrame, degree: int) -> DataFrame:
                 times = rows["ids"].str.len().to_numpy() // 8
                 yield pd.DataFrame({"node": _joined(rows["ids"], "<i8"), "by": np.repeat(rows["node"].to_numpy(), times), "val": _joined(rows["vals"], "<f4")})
 
-    back = state.select("node", "ids", "vals").mapInPandas(named, "node long, by long, val float")
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                x = _joined(rows["vec"], "<f4").reshape(len(rows), -1)[:, :dims]
+                most = np.abs(x).max(axis=1, keepdims=True)
+                scale = np.where(most > 0, most, 1).astype("<f4") / np.float32(32_767)
+                codes = np.rint(x / scale).astype("<i2")
+                yield pd.DataFrame({"by": rows["node"], "scale": scale[:, 0], "code": [c.tobytes() for c in codes]})
+
+    forward = materialize(state.select("node", "ids", "vals").mapInPandas(named, "node long, by long, val float"), "named")
     nearest = Window.partitionBy("node").orderBy(F.col("val").desc(), "by")
-    back = back.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= degree)
-    back = back.groupBy("node").agg(F.collect_list("by").alias("named"))  # degree at most
+    back = forward.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= degree).select("node", "by")
+    both = back.unionByName(forward.select(F.col("by").alias("node"), F.col("node").alias("by"))).distinct()
+    codes = state.select("node", "vec").mapInPandas(coded, "by long, scale float, code binary")
+    near = both.join(codes, "by").groupBy("node").agg(F.collect_list(F.struct("by", "scale", "code")).alias("near"))  # 2 * degree at most
 
-    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            links = [np.union1d(np.frombuffer(a, "<i8"), b if b is not None else []).astype("<i8").tobytes() for a, b in zip(rows["ids"], rows["named"])]
-            yield pd.DataFrame({"node": rows["node"], "vec": rows["vec"], "links": links})
+            cells = [(np.array(i, "<i8").tobytes(), np.array(s, "<f4").tobytes(), b"".join(c)) for i, s, c in zip(rows["ids"], rows["scales"], rows["codes"])]
+            yield pd.DataFrame([(n, *c) for n, c in zip(rows["node"], cells)], columns=["node", "links", "scales", "codes"])
 
-    return materialize(state.select("node", "vec", "ids").join(back, "node", "left").mapInPandas(both, "node long, vec binary, links binary"), "links")
+    lists = near.select("node", F.col("near.by").alias("ids"), F.col("near.scale").alias("scales"), F.col("near.code").alias("codes"))
+    made = materialize(lists.mapInPandas(packed, "node long, links binary, scales binary, codes binary"), "links")
+    release(forward)
+    return made
 
 
 def _step(beam: int, followed: int):
-    """One block of queries with what it asked for: score the fresh nodes, then name those to ask for next."""
+    """One block of queries with the nodes it asked for: score their links, then name the nodes to follow next.
+
+    A node that left the beam can't come back, since the beam's worst value only rises.
+    """
 
     def run(queries: pd.DataFrame, fetched: pd.DataFrame) -> pd.DataFrame:
-        names = fetched["node"].to_numpy()
-        order = np.argsort(names)
-        names = names[order]
-        vecs = _joined(fetched["vec"], "<f4").reshape(len(names), -1)[order] if len(names) else None
-        links = fetched["links"].to_numpy()[order]
+        at = {n: i for i, n in enumerate(fetched["node"].tolist())}
+        links, scales, codes = (fetched[c].to_numpy() for c in ("links", "scales", "codes"))
         out = []
         for row in queries.itertuples(index=False):
             query = np.frombuffer(row.vec, "<f4")
-            ids, vals = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.vals, "<f4")
-            done = np.frombuffer(row.followed, np.uint8) > 0
-            seen, wanted = np.frombuffer(row.seen, "<i8"), np.frombuffer(row.wanted, "<i8")
-            fresh = np.setdiff1d(wanted, ids)
-            if len(fresh):
-                score = vecs[np.searchsorted(names, fresh)][:, : len(query)] @ query
-                ids, vals, done = np.r_[ids, fresh], np.r_[vals, score.astype("<f4")], np.r_[done, np.zeros(len(fresh), bool)]
+            ids, vals, done = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.vals, "<f4"), np.frombuffer(row.followed, np.uint8) > 0
+            here = [at[n] for n in np.frombuffer(row.wanted, "<i8").tolist() if n in at]
+            if here:
+                met, first = np.unique(_joined(links[here], "<i8"), return_index=True)
+                new = ~np.isin(met, ids)
+                met, first = met[new], first[new]
+                value = _joined(codes[here], "<i2").reshape(-1, len(query))[first].astype("<f4") @ query * _joined(scales[here], "<f4")[first]
+                ids, vals, done = np.r_[ids, met], np.r_[vals, value.astype("<f4")], np.r_[done, np.zeros(len(met), bool)]
                 best = np.lexsort((ids, -vals))[:beam]
-                ids, vals, done = ids[best], vals[best], done[best].copy()
+                ids, vals, done = ids[best], vals[best], done[best]
             open_ = np.flatnonzero(~done)[:followed]
-            at = np.searchsorted(names, ids[open_])
-            here = names[np.minimum(at, len(names) - 1)] == ids[open_] if len(names) else np.zeros(len(open_), bool)
-            met = [np.frombuffer(links[i], "<i8") for i in at[here]]
-            done[open_[here]] = True
-            ask = np.setdiff1d(np.concatenate([np.zeros(0, "<i8"), *met]), seen)
-            ask = np.r_[ask, ids[open_[~here]]]  # their links were fetched in an earlier round; once more
-            seen = np.union1d(seen, ask)
-            out.append((row.query, row.vec, ids.tobytes(), vals.tobytes(), done.astype(np.uint8).tobytes(), seen.tobytes(), ask.tobytes(), len(ask) + int((~done).sum())))
+            done = done.copy()
+            done[open_] = True
+            out.append((row.query, row.vec, ids.tobytes(), vals.tobytes(), done.astype(np.uint8).tobytes(), ids[open_].tobytes(), len(open_)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SEARCH.split(", ")])
 
     return run
@@ -313,11 +327,12 @@ def graph_search(links: DataFrame, queries: DataFrame, *, beam: int = BEAM, foll
     """
     n = queries.count()
     deal = _block("query", -(-n // ASKING) or 1, 2)
-    nothing = [F.lit(b"").alias(c) for c in ("ids", "vals", "followed", "seen")]
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield rows.assign(wanted=[np.array([q], "<i8").tobytes() for q in rows["query"]], n_open=1)
+            own = [np.array([q], "<i8").tobytes() for q in rows["query"]]
+            vecs = [np.frombuffer(v, "<f4") for v in rows["vec"]]
+            yield rows.assign(ids=own, vals=[np.array([v @ v], "<f4").tobytes() for v in vecs], followed=b"\x01", wanted=own, n_open=1)
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -330,7 +345,7 @@ def graph_search(links: DataFrame, queries: DataFrame, *, beam: int = BEAM, foll
                 times = rows["ids"].str.len().to_numpy() // 8
                 yield pd.DataFrame({"query": np.repeat(rows["query"].to_numpy(), times), "node": _joined(rows["ids"], "<i8"), "val": _joined(rows["vals"], "<f4")})
 
-    state = materialize(queries.select("query", "vec", *nothing).mapInPandas(begin, SEARCH), "search")
+    state = materialize(queries.select("query", "vec").mapInPandas(begin, SEARCH), "search")
     ended = []
     while True:
         left = state.filter("n_open > 0").withColumn("block", deal)
@@ -386,7 +401,7 @@ def nearest_neighbours(
 
     nodes = materialize(distinct.select("node", "vector", "asks").mapInPandas(packed, "node long, vec binary, asks boolean"), "nodes")
     state = neighbour_graph(nodes.select("node", "vec"), degree=degree)
-    links = _links(state, degree)
+    links = _links(state, degree, dims)
     release(state)
     queries = nodes.filter("asks").select(F.col("node").alias("query"), F.substring("vec", F.lit(1), F.lit(4 * dims)).alias("vec"))
     found = graph_search(links, queries, beam=beam)
