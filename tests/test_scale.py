@@ -4,9 +4,11 @@ import contextlib
 import io
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from reviewmill.functions import text as tx
+from reviewmill.operators import density, lda, svd
 from reviewmill.operators.language import LanguageModel, language_profiles
 from reviewmill.session import literal_table
 
@@ -44,3 +46,52 @@ def test_detection_shuffles_no_text_and_no_gram(spark):
     assert moved and not any("gram" in line for line in moved)
     keys = [line for line in plan_of(found).splitlines() if "HashAggregate(keys" in line]
     assert keys and not any("gram" in line.split("functions")[0] for line in keys)
+
+
+def test_lda_updates_do_not_grow_with_the_corpus(spark, monkeypatch):
+    rows = literal_table(spark, [(i, ["a", "b", "c"][: 1 + i % 3]) for i in range(30)], "id int, tokens array<string>")
+    topics = lda.LdaTopics(rows, "id", "tokens", no_below=1, no_above=1.0)
+    asked = []
+
+    class Asked:
+        def __init__(self, **settings):
+            asked.append((settings["maxIter"], settings["subsamplingRate"]))
+
+        def fit(self, df):
+            return None
+
+    monkeypatch.setattr(lda, "LDA", Asked)
+    for topics.n_docs in (1_000, 20_000, 1_000_000):
+        topics.fit(2)
+    topics.fit(2, chunk=50_000)
+    assert asked == [(10, 1.0), (100, 0.1), (100, 0.1), (200, 0.05)]
+
+
+def test_products_over_blocks_equal_the_matrix(spark):
+    made = np.random.default_rng(3)
+    x = made.random((12, 7)) * (made.random((12, 7)) < 0.6)
+    rows = [(None if i == 5 else i, f"t{j}", float(x[i, j])) for i in range(12) for j in range(7) if x[i, j]]
+    table = literal_table(spark, rows, "id bigint, term string, x double")
+    blocks = svd.packed(table, "id", entries=9)
+    assert blocks.rows.count() > 1 and blocks.texts == len({r[0] for r in rows})
+    h = made.random((7, 2))
+    factor = literal_table(spark, [(f"t{j}", h[j].tolist()) for j in range(7)], "term string, f array<double>")
+    sums, products = svd.there_and_back(blocks, factor, 2, lambda f: f, "sums")
+    w, named = x @ h, np.arange(12) != 5  # a text without an id is no row of the transpose's product
+    assert np.allclose(products, w.T @ w)
+    got = np.array([r["f"] for r in sums.orderBy("term").collect()])
+    assert np.allclose(got, (x[named].T @ w[named])[(x != 0).any(axis=0)])
+    found = {r["id"]: r["f"] for r in svd.images(blocks, factor, 2, lambda f: f).collect()}
+    assert all(np.allclose(found[None if i == 5 else i], w[i]) for i in range(12) if x[i].any())
+
+
+def test_leaf_meets_its_visitors_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(density, "VISITORS", 40)
+    v = np.random.default_rng(5).random((150, 3)).round(3)
+    points = literal_table(spark, [(i, v[i].tolist()) for i in range(150)], "node bigint, v array<double>")
+    near = density.nearest_neighbours(points, 4, leaf_rows=40)
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2)) + np.diag(np.full(150, np.inf))
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["node"], []).append(r["d"])
+    assert all(np.allclose(sorted(got[i]), np.sort(d[i])[:4]) for i in range(150))
