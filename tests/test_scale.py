@@ -2,13 +2,14 @@
 
 import contextlib
 import io
+import threading
 import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from reviewmill.functions import text as tx
-from reviewmill.operators import density, lda, svd
+from reviewmill.operators import classify, density, lda, svd
 from reviewmill.operators.language import LanguageModel, language_profiles
 from reviewmill.session import literal_table
 
@@ -95,3 +96,24 @@ def test_leaf_meets_its_visitors_in_parts(spark, monkeypatch):
     for r in near.collect():
         got.setdefault(r["node"], []).append(r["d"])
     assert all(np.allclose(sorted(got[i]), np.sort(d[i])[:4]) for i in range(150))
+
+
+def test_trials_run_side_by_side_and_keep_their_order(spark, monkeypatch):
+    both = threading.Barrier(2, timeout=20)  # broken if the trials come one after the other
+
+    class Fitted:
+        def __init__(self, **settings):
+            pass
+
+        def getParam(self, name):  # noqa: N802
+            return name
+
+        def fit(self, df, settings):
+            both.wait()
+            return type("Model", (), {"transform": lambda _, valid: settings["regParam"]})()
+
+    monkeypatch.setattr(classify, "LogisticRegression", Fitted)
+    monkeypatch.setattr(classify, "MulticlassClassificationEvaluator", lambda **settings: type("Loss", (), {"evaluate": lambda _, x: x})())
+    tried = classify.tune_logistic(spark.range(1), spark.range(1), "label", n_trials=4, parallelism=2)
+    assert len(tried) == 4 and all(trial["regParam"] == loss for trial, loss in tried)
+    assert [trial for trial, _ in tried] == classify.random_trials({"regParam": (1e-5, 1.0), "elasticNetParam": (1e-3, 1.0), "tol": (1e-7, 1e-3)}, 4)
