@@ -117,3 +117,20 @@ def test_trials_run_side_by_side_and_keep_their_order(spark, monkeypatch):
     tried = classify.tune_logistic(spark.range(1), spark.range(1), "label", n_trials=4, parallelism=2)
     assert len(tried) == 4 and all(trial["regParam"] == loss for trial, loss in tried)
     assert [trial for trial, _ in tried] == classify.random_trials({"regParam": (1e-5, 1.0), "elasticNetParam": (1e-3, 1.0), "tol": (1e-7, 1e-3)}, 4)
+
+
+def test_blocks_of_leaves_meet_exactly(spark, monkeypatch):
+    """A point moves once for every block, whatever the number of leaves it is near to."""
+    moved = []
+    monkeypatch.setattr(density, "HELD", 50)
+    monkeypatch.setattr(density, "VISITORS", 80)
+    monkeypatch.setattr(density, "materialize", lambda df, name, real=density.materialize: moved.append((name, plan_of(df))) or real(df, name))
+    v = np.unique(np.random.default_rng(6).normal(size=(400, 12)).round(1), axis=0)
+    points = literal_table(spark, [(1000 - i, x.tolist()) for i, x in enumerate(v)], "node bigint, v array<double>")
+    got = {(r["node"], r["other"], r["d"]) for r in density.nearest_neighbours(points, 5, leaf_rows=25).collect()}
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2)) + np.diag(np.full(len(v), np.inf))
+    ids = 1000 - np.arange(len(v))
+    want = {(ids[i], ids[j], d[i, j]) for i in range(len(v)) for j in np.lexsort((ids, d[i]))[:5]}
+    assert got == want
+    last = dict(moved)["neighbours"]
+    assert "MapInPandas" not in last  # was a row for every leaf that a point visits
