@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from reviewmill.functions import text as tx
-from reviewmill.operators import classify, density, lda, svd
+from reviewmill.operators import classify, density, doc_vectors, lda, svd
 from reviewmill.operators.language import LanguageModel, language_profiles
 from reviewmill.session import literal_table
 
@@ -134,3 +134,21 @@ def test_blocks_of_leaves_meet_exactly(spark, monkeypatch):
     assert got == want
     last = dict(moved)["neighbours"]
     assert "MapInPandas" not in last  # was a row for every leaf that a point visits
+
+
+def test_document_vectors_move_no_sums(spark):
+    rows = [(i, [f"w{i % 7}", f"w{i % 3}", "x"] if i else []) for i in range(30)]
+    docs = literal_table(spark, rows, "id bigint, tokens array<string>")
+    fitted = doc_vectors.DocumentVectors("id", "tokens", size=70).fit(docs)
+    out = fitted.transform(docs)
+    # The plain way: weights of unit length against the signs of the terms.
+    signs = fitted.tfidf.vocabulary.select("term", doc_vectors.term_signs(F.col("term"), 70).alias("signs"))
+    signs = {r["term"]: np.array(r["signs"]) for r in signs.collect()}
+    want = {i: np.zeros(70) for i, _ in rows}
+    for r in fitted.tfidf.weights(docs).collect():
+        want[r["id"]] = want[r["id"]] + r["weight"] * signs[r["term"]]
+    got = {r["id"]: r["vector"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], atol=1e-12) for i in want)
+    assert "Window" not in plan_of(out)
+    exchanges = [line for line in plan_of(out).splitlines() if "Exchange hashpartitioning(id" in line]
+    assert any("REPARTITION_BY_COL" in line for line in exchanges)  # was one number a dimension for every term of a text
