@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from reviewmill.functions import text as tx
-from reviewmill.operators import classify, density, doc_vectors, lda, svd
+from reviewmill.operators import classify, density, doc_vectors, lda, phrases, svd
 from reviewmill.operators.language import LanguageModel, language_profiles
 from reviewmill.session import literal_table
 
@@ -152,3 +152,13 @@ def test_document_vectors_move_no_sums(spark):
     assert "Window" not in plan_of(out)
     exchanges = [line for line in plan_of(out).splitlines() if "Exchange hashpartitioning(id" in line]
     assert any("REPARTITION_BY_COL" in line for line in exchanges)  # was one number a dimension for every term of a text
+
+
+def test_pairs_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "TASK_TOKENS", 10)
+    rows = [(["a", "b", "a", "b"],)] * 60 + [([],), (None,)]
+    docs = literal_table(spark, rows, "tokens array<string>").coalesce(1)
+    assert "RoundRobin" not in plan_of(phrases.gram_counts(docs, "tokens"))
+    assert phrases.spread(docs, "tokens").rdd.getNumPartitions() >= 24  # was one task a file
+    got = {(r["a"], r["b"]): r["n"] for r in phrases.gram_counts(docs, "tokens").collect()}
+    assert got == {("a", None): 120, ("b", None): 120, ("a", "b"): 120, ("b", "a"): 60}
