@@ -62,3 +62,17 @@ def test_a_model_without_languages_detects_nothing(spark):
     empty = literal_table(spark, [], "lang string, gram string, n bigint")
     found = language.LanguageModel(empty).detect(_texts(spark), "id", "text")
     assert {r["detected_lang"] for r in found.collect()} == {language.UNKNOWN}
+
+
+def test_only_words_with_an_ending_are_looked_up(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(lemma, "materialize", lambda df, name, real=lemma.materialize: plans.append(plan_of(df)) or real(df, name))
+    words = ["cat", "cats", "boxes", "box", "men", "man", "wolves", "wolf", "ses", "s", "cities", "city", "gas", "x"]
+    docs = literal_table(spark, [(1, words), (2, []), (3, None), (None, ["cats", None])], "id bigint, tokens array<string>")
+    out = lemma.lemmatize(docs, "id", "tokens")
+    got = {r["id"]: r["tokens"] for r in out.collect()}
+    assert got[1] == ["cat", "cat", "box", "box", "men", "man", "wolf", "wolf", "s", "s", "city", "city", "gas", "x"]
+    assert got[2] == [] and got[3] is None and got[None] == ["cats", None]
+    assert plan_of(out).count("EndsWith") >= len(NOUN_ENDINGS)  # was every word of every text
+    odd = literal_table(spark, [("cat", "feline")], "word string, lemma string")
+    assert {r["id"]: r["tokens"] for r in lemma.lemmatize(docs, "id", "tokens", exceptions=odd).collect()}[1][:2] == ["feline", "cat"]
