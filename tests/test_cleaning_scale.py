@@ -76,3 +76,18 @@ def test_only_words_with_an_ending_are_looked_up(spark, monkeypatch):
     assert plan_of(out).count("EndsWith") >= len(NOUN_ENDINGS)  # was every word of every text
     odd = literal_table(spark, [("cat", "feline")], "word string, lemma string")
     assert {r["id"]: r["tokens"] for r in lemma.lemmatize(docs, "id", "tokens", exceptions=odd).collect()}[1][:2] == ["feline", "cat"]
+
+
+def test_only_words_with_a_valence_become_rows(spark):
+    rows = [(1, ["a", "good", "very", "good", None, "bad"]), (2, ["x"]), (3, []), (4, None), (1, ["good"])]
+    docs = literal_table(spark, rows, "id bigint, tokens array<string>")
+    literal = sentiment.Lexicon([("good", 1.9), ("bad", -2.5), ("very", 1.0)], [("very", 0.293)], [("not",)])
+    scoring = literal_table(spark, [("good", 1.9), ("bad", -2.5)], "w0 string, v double")
+    hits = sentiment._hits(docs, "id", "tokens", scoring, ["good", "bad"])
+    assert sorted((r["id"], r["w0"], r["p1"]) for r in hits.select("id", "w0", F.coalesce("p1", F.lit("-")).alias("p1")).collect()) == [
+        (1, "bad", "-"), (1, "good", "-"), (1, "good", "a"), (1, "good", "very"),
+    ]
+    tables = sentiment.Lexicon(literal_table(spark, literal.valences, "term string, valence double"), literal.boosters, literal.negators)
+    scores = [sorted((r["id"], r["compound"]) for r in sentiment.compound_scores(docs, "id", "tokens", x).collect()) for x in (literal, tables)]
+    assert scores[0] == scores[1]
+    assert " IN (good,bad,very)" in plan_of(sentiment.compound_scores(docs, "id", "tokens", literal))  # was a row for every token
