@@ -91,3 +91,16 @@ def test_only_words_with_a_valence_become_rows(spark):
     scores = [sorted((r["id"], r["compound"]) for r in sentiment.compound_scores(docs, "id", "tokens", x).collect()) for x in (literal, tables)]
     assert scores[0] == scores[1]
     assert " IN (good,bad,very)" in plan_of(sentiment.compound_scores(docs, "id", "tokens", literal))  # was a row for every token
+
+
+def test_brands_keep_their_meaning(spark):
+    rules = (("th", "the"), ("nd", "and"), ("und", "and"), ("nt", "not"), ("a.b", "x"))
+    texts = ["th nd und nt", "xth th1 _th thx", "und undund und.nd", "éth th\U0001d400 \U0001d400th 9nd", "a.b aab a.b.c", "th", "", None, "nd und"]
+    rows = literal_table(spark, list(enumerate(texts)), "i int, text string")
+    got = [r["out"] for r in rows.select("i", tx.normalize_brands(F.col("text"), rules).alias("out")).orderBy("i").collect()]
+    # The plain way: what is in front is looked at first, word by word.
+    plain = F.lower("text")
+    for words, target in (("th", "the"), ("nd|und", "and"), ("nt", "not"), (r"a\.b", "x")):
+        plain = F.regexp_replace(plain, rf"(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])", target)
+    assert got == [r["out"] for r in rows.select("i", plain.alias("out")).orderBy("i").collect()]
+    assert got[0] == "the and and not"
