@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.config import NOUN_ENDINGS
 from reviewmill.functions import text as tx
-from reviewmill.operators import language, lemma, sentiment
+from reviewmill.operators import features, language, lemma, sentiment
 from reviewmill.session import literal_table
 
 TEXTS = [
@@ -104,3 +104,14 @@ def test_brands_keep_their_meaning(spark):
         plain = F.regexp_replace(plain, rf"(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])", target)
     assert got == [r["out"] for r in rows.select("i", plain.alias("out")).orderBy("i").collect()]
     assert got[0] == "the and and not"
+
+
+def test_terms_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(features, "TASK_TOKENS", 10)
+    rows = [(i, ["aa", "bb", "aa", "bb"]) for i in range(60)] + [(0, ["aa"]), (None, ["aa"]), (None, ["aa"]), (70, []), (71, None)]
+    docs = literal_table(spark, rows, "id bigint, tokens array<string>").coalesce(1)
+    counts = features.Tfidf("id", "tokens", (1, 2))._counts(docs)
+    assert "REPARTITION_BY_NUM" in plan_of(counts) and "hashpartitioning(id#" in plan_of(counts)
+    assert counts.rdd.getNumPartitions() >= 24  # was joined up to a few tasks, whatever they count
+    got = {(r["id"], r["term"]): r["tf"] for r in counts.collect()}
+    assert got[0, "aa"] == 3 and got[None, "aa"] == 2 and got[5, "aa bb"] == 2 and got[5, "bb aa"] == 1 and len(got) == 60 * 4 + 1
