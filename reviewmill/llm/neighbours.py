@@ -4,14 +4,16 @@ Distinct vectors are the nodes of a graph of each node's best neighbours. It sta
 exact neighbours within two random deals into blocks. A round joins neighbours of
 neighbours: every node lists a sample of its neighbours and of the nodes that name it, pairs
 with a new one are compared, and what beats a node's worst neighbour replaces it, until
-few change. The pairs of a node are never rows: nodes are dealt into blocks of bounded
-size, a block fetches each vector that its lists name once, and sends its best finds as one packed row
-for every block that it has finds for.
+few change. The pairs of a node are never rows, and neither are the vectors that its lists need:
+nodes are dealt into home blocks of bounded size, a block asks every other for the vectors that
+its lists name, each once, and gets them as one packed row in 16 bits an entry; its best finds go
+out as one packed row for every block that it has finds for.
 
 A search starts from the query's own node, which is in the graph like any other, keeps a
 beam of the best nodes met and follows the links of the best not yet followed, until all
-of the beam are. A node's row holds its links' vectors in 16 bits, so a query fetches the nodes that it
-follows, not every node it meets. The best of the beam are scored again in double precision on the original vectors.
+of the beam are. The links, with their vectors in 16 bits, are written once in files by home block and
+stay there: a query's vector goes to the blocks of the nodes that it follows, and what comes back are
+ids and values that its beam has room for. The best of the beam are scored again in double precision on the original vectors.
 
 For vectors of unequal lengths the graph is built on the vectors with one more entry that
 makes all lengths equal, so that near there means a large inner product; the search uses inner products alone.
@@ -19,6 +21,7 @@ makes all lengths equal, so that near there means a large inner product; the sea
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,27 +32,44 @@ from pyspark.sql.window import Window
 
 from reviewmill.functions.vectors import doubles, dot
 from reviewmill.llm.common import table
-from reviewmill.session import materialize, release
+from reviewmill.session import materialize, release, shared_folder
 
 DEGREE = 40  # neighbours of a node
 SAMPLE = 20  # of them, and of nodes that name it, listed in a round, new and old each
 START = 2_048  # nodes compared with each other at the start, twice
-BLOCK = 1_024  # nodes whose lists are joined in one group
+BLOCK = 1_024  # nodes of a home block, whose lists are joined in one group
+PER_TASK = 4  # home blocks whose links are read by one task of a search round
 SETTLED = 0.03  # the graph is done if fewer of its links are new
 ASKING = 128  # queries that are searched for in one group
 BEAM = 256  # nodes that a query keeps
 FOLLOWED = 40  # of them followed in one round
 RESCORED = 64  # of them scored again in double precision
+ANSWERED = 32_768  # requests to a block that are answered in one group
 
 STATE = "home int, node long, vec binary, ids binary, vals binary, new binary, worst float, n_new int"
 FOUND = "home int, nodes binary, counts binary, ids binary, vals binary"
+NAMED = "home int, v binary, member binary, mark binary"
+LISTS = "home int, block int, v binary, member binary, mark binary"
+VECTORS = "block int, names binary, scales binary, lasts binary, codes binary, worst binary"
+LINKS = "home int, node long, links binary, scales binary, codes binary"
+ASKED = "home int, part int, queries binary, blocks binary, vecs binary, worst binary, which binary, nodes binary"
 SEARCH = "query long, vec binary, ids binary, vals binary, followed binary, wanted binary, n_open int"
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 def _joined(column: pd.Series, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind)
 
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins and ends."""
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return begin, np.r_[begin[1:], len(key)].astype(int)[: len(begin)]
+
+
 def _packed(node: np.ndarray, other: np.ndarray, val: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The ``most`` best distinct others of every node: (nodes, where each begins, others, values)."""
     order = np.lexsort((other, node))
@@ -72,18 +92,15 @@ def _homes(nodes: np.ndarray, blocks: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(blocks)).astype(np.int32)
 
 
-def _rows(nodes: np.ndarray, begin: np.ndarray, other: np.ndarray, val: np.ndarray, blocks: int) -> pd.DataFrame:
+def _rows(home: np.ndarray, nodes: np.ndarray, counts: np.ndarray, other: np.ndarray, val: np.ndarray) -> pd.DataFrame:
     """One row for each home block: its nodes, how many finds each has, and the finds."""
-    counts = np.diff(np.r_[begin, len(other)]).astype("<i4")
-    home = _homes(nodes, blocks)
+    counts = counts.astype("<i4")
     order = np.argsort(home, kind="stable")
     far = np.argsort(np.repeat(home, counts), kind="stable")
     nodes, counts, other, val, home = nodes[order], counts[order], other[far], val[far], home[order]
-    starts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]][: len(home)])
-    ends = np.r_[starts[1:], len(home)]
     upto = np.r_[0, np.cumsum(counts)]
-    cells = [(home[a], nodes[a:b].tobytes(), counts[a:b].tobytes(), other[upto[a] : upto[b]].tobytes(), val[upto[a] : upto[b]].tobytes()) for a, b in zip(starts, ends)]
-    return pd.DataFrame(cells, columns=[c.split()[0] for c in FOUND.split(", ")])
+    cells = [(home[a], nodes[a:b].tobytes(), counts[a:b].tobytes(), other[upto[a] : upto[b]].tobytes(), val[upto[a] : upto[b]].tobytes()) for a, b in zip(*_runs(home))]
+    return pd.DataFrame(cells, columns=_names(FOUND))
 
 
 def _block(column: str, blocks: int, seed: int) -> Column:
@@ -97,12 +114,12 @@ def _within(most: int, blocks: int):
         node = rows["node"].to_numpy()
         vecs = _joined(rows["vec"], "<f4").reshape(len(node), -1)
         if len(node) < 2:
-            return pd.DataFrame(columns=[c.split()[0] for c in FOUND.split(", ")])
+            return pd.DataFrame(columns=_names(FOUND))
         score = vecs @ vecs.T
         np.fill_diagonal(score, -np.inf)
         k = min(most, len(node) - 1)
         near = np.argpartition(-score, k - 1, axis=1)[:, :k]
-        return _rows(node, np.arange(0, near.size, k), node[near].ravel(), np.take_along_axis(score, near, 1).ravel(), blocks)
+        return _rows(_homes(node, blocks), node, np.full(len(node), k), node[near].ravel(), np.take_along_axis(score, near, 1).ravel())
 
     return run
 
@@ -150,47 +167,133 @@ def _merge(turn: int, degree: int, sample: int):
             new = np.fromiter(((n, i) not in old for i in ids.tolist()), np.uint8, len(ids))
             worst = float(vals[-1]) if len(vals) == degree else -np.inf
             out.append((home, n, vec, ids.tobytes(), vals.tobytes(), new.tobytes(), worst, int(new.sum())))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")])
+        return pd.DataFrame(out, columns=_names(STATE))
 
     return run
 
 
-def _forward(turn: int, sample: int):
-    """State rows to what every node lists: (v, member, fresh)."""
+def _lists(rows: pd.DataFrame, turn: int, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the nodes of state rows list of their own neighbours: (v, member, fresh)."""
+    v, member, fresh = [np.zeros(0, "<i8")], [np.zeros(0, "<i8")], [np.zeros(0, bool)]
+    for n, ids, new in zip(rows["node"].tolist(), rows["ids"], rows["new"]):
+        taken, old = _listed(ids, new, n, turn, sample)
+        others = np.frombuffer(ids, "<i8")
+        v.append(np.full(len(taken) + len(old), n))
+        member += [others[taken], others[old]]
+        fresh += [np.ones(len(taken), bool), np.zeros(len(old), bool)]
+    return np.concatenate(v), np.concatenate(member), np.concatenate(fresh)
+
+
+def _drawn(v: np.ndarray, member: np.ndarray, fresh: np.ndarray, turn: int, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every v at most ``sample`` fresh and as many other members, drawn by a hash, so a draw of draws is a draw."""
+    mixed = (member.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (v.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(turn * 40503))
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return _first((~fresh, v), (member, mixed ^ (mixed >> np.uint64(29))), (v, member, fresh), sample)
+
+
+def _first(keys: tuple, by: tuple, columns: tuple, most: int) -> tuple:
+    """The first ``most`` entries of every group of equal ``keys``, in the order of ``by`` (the last counts most, as in lexsort)."""
+    order = np.lexsort((*by, *keys))
+    keys = [k[order] for k in keys]
+    apart = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    begin = np.flatnonzero(np.r_[True, apart][: len(order)])
+    place = np.arange(len(order)) - np.repeat(begin, np.diff(np.r_[begin, len(order)]))
+    return tuple(c[order[place < most]] for c in columns)
+
+
+def _sent_home(v: np.ndarray, member: np.ndarray, mark: np.ndarray, blocks: int) -> pd.DataFrame:
+    """One row for each home block of ``v``: its entries."""
+    home = _homes(v, blocks)
+    order = np.argsort(home, kind="stable")
+    v, member, mark, home = v[order], member[order], mark[order], home[order]
+    cells = [(home[a], v[a:b].tobytes(), member[a:b].tobytes(), mark[a:b].tobytes()) for a, b in zip(*_runs(home))]
+    return pd.DataFrame(cells, columns=_names(NAMED))
+
+
+def _naming(turn: int, sample: int, blocks: int):
+    """State rows to what the home block of every listed node needs to know: (it, who lists it, fresh)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            v, member, fresh = [], [], []
-            for n, ids, new in zip(rows["node"].tolist(), rows["ids"], rows["new"]):
-                taken, old = _listed(ids, new, n, turn, sample)
-                others = np.frombuffer(ids, "<i8")
-                member += [others[taken], others[old]]
-                v.append(np.full(len(taken) + len(old), n))
-                fresh += [np.ones(len(taken), bool), np.zeros(len(old), bool)]
-            if v:
-                yield pd.DataFrame({"v": np.concatenate(v), "member": np.concatenate(member), "fresh": np.concatenate(fresh)})
+            v, member, fresh = _lists(rows, turn, sample)
+            yield _sent_home(*_drawn(member, v, fresh, turn, sample), blocks)
+
+    return run
+
+
+def _with_asks(block: int, v: np.ndarray, member: np.ndarray, mark: np.ndarray, blocks: int) -> pd.DataFrame:
+    """The lists of a block in one row, and for every home block a row of the nodes whose vectors they need, without ``v``."""
+    names = np.unique(member)
+    home = _homes(names, blocks)
+    order = np.argsort(home, kind="stable")
+    names, home = names[order], home[order]
+    asks = [(home[a], block, None, names[a:b].tobytes(), None) for a, b in zip(*_runs(home))]
+    return pd.DataFrame([(block, block, v.tobytes(), member.tobytes(), mark.tobytes()), *asks], columns=_names(LISTS))
+
+
+def _listing(turn: int, sample: int, blocks: int):
+    """A home block's state rows and who lists its nodes to its lists of a round, for every v the fresh members first."""
+
+    def run(key: tuple, own: pd.DataFrame, naming: pd.DataFrame) -> pd.DataFrame:
+        back = _drawn(_joined(naming["v"], "<i8"), _joined(naming["member"], "<i8"), _joined(naming["mark"], bool), turn, sample)
+        v, member, fresh = (np.concatenate(x) for x in zip(_lists(own, turn, sample), back))
+        order = np.lexsort((~fresh, v))
+        return _with_asks(int(key[0]), v[order], member[order], fresh[order], blocks)
 
     return run
 
 
+def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors in 16 bits an entry: (scales, codes)."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    scale = np.where(most > 0, most, 1).astype("<f4") / np.float32(32_767)
+    return scale[:, 0], np.rint(x / scale).astype("<i2")
+
+
+def _answer_block(asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    """What blocks ask of a home block, and its nodes, to a row of vectors for each of them; the last entry stays whole."""
+    if not len(asks) or not len(own):
+        return pd.DataFrame(columns=_names(VECTORS))
+    order = np.argsort(own["node"].to_numpy())
+    names, worst = own["node"].to_numpy()[order], own["worst"].to_numpy()[order].astype("<f4")
+    vecs = _joined(own["vec"], "<f4").reshape(len(own), -1)[order]
+    scales, codes = _codes(vecs[:, :-1])
+    out = []
+    for block, wanted in zip(asks["block"], asks["member"]):
+        at = np.searchsorted(names, np.frombuffer(wanted, "<i8"))
+        out.append((block, names[at].tobytes(), scales[at].tobytes(), vecs[at, -1].tobytes(), codes[at].tobytes(), worst[at].tobytes()))
+    return pd.DataFrame(out, columns=_names(VECTORS))
+
+
+def _asked_vectors(made: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From what ``_with_asks`` made: (lists, vectors that they need)."""
+    asks = made.filter("v IS NULL").select("home", "block", "member")
+    own = state.select("home", "node", "vec", "worst")
+    return made.filter("v IS NOT NULL"), asks.groupBy("home").cogroup(own.groupBy("home")).applyInPandas(_answer_block, VECTORS)
+
+
 def _compare(degree: int, blocks: int):
-    """One block: lists (v, member, fresh) and the vectors they name to the finds of every named node."""
+    """One block: its lists and the vectors they name to the finds of every named node."""
 
     def run(lists: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame(columns=[c.split()[0] for c in FOUND.split(", ")])
+        empty = pd.DataFrame(columns=_names(FOUND))
         if not len(lists) or not len(vectors):
             return empty
-        names = vectors["name"].to_numpy()
+        names = _joined(vectors["names"], "<i8")
         order = np.argsort(names)
-        names = names[order]
-        vecs = _joined(vectors["vec"], "<f4").reshape(len(names), -1)[order]
-        worst = vectors["worst"].to_numpy()[order]
-        lists = lists.sort_values(["v", "fresh"], ascending=[True, False], kind="stable")
-        at = np.searchsorted(names, lists["member"].to_numpy())
-        v, fresh = lists["v"].to_numpy(), lists["fresh"].to_numpy()
-        begin = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-        to, found, val = [], [], []
-        for a, b in zip(begin, np.r_[begin[1:], len(v)]):
+        names, worst = names[order], _joined(vectors["worst"], "<f4")[order]
+        codes = _joined(vectors["codes"], "<i2").reshape(len(names), -1)[order]
+        vecs = np.c_[codes * _joined(vectors["scales"], "<f4")[order][:, None], _joined(vectors["lasts"], "<f4")[order]]
+        del codes
+        v, fresh = _joined(lists["v"], "<i8"), _joined(lists["mark"], bool)
+        at = np.searchsorted(names, _joined(lists["member"], "<i8"))
+        kept, to, found, val, held = [], [], [], [], 0
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            nodes, begin, other, score = _packed(*(np.concatenate([*(k[n] for k in kept), *x]) for n, x in enumerate((to, found, val))), degree)
+            return np.repeat(nodes, np.diff(np.r_[begin, len(other)])), other, score
+
+        for a, b in zip(*_runs(v)):
             mine = at[a:b]
             new = np.unique(mine[: int(fresh[a:b].sum())])
             if not len(new):
@@ -206,16 +309,23 @@ def _compare(degree: int, blocks: int):
             to.append(all_[len(new) :][j])
             found.append(new[i])
             val.append(late[i, j])
-        if not to:
+            held += len(to[-1]) + len(to[-2])
+            if held > 500_000:
+                kept, to, found, val, held = [best()], [], [], [], 0
+        if not to and not kept:
             return empty
-        to, found, val = (np.concatenate(x) for x in (to, found, val))
-        return _rows(*_packed(names[to], names[found], val.astype("<f4"), degree), blocks)
+        to, found, val = best()
+        begin, end = _runs(to)
+        return _rows(_homes(names[to[begin]], blocks), names[to[begin]], end - begin, names[found], val.astype("<f4"))
 
     return run
 
 
 def neighbour_graph(nodes: DataFrame, *, degree: int = DEGREE, sample: int = SAMPLE, settled: float = SETTLED) -> DataFrame:
-    """State rows of (node, vec): every node with its best neighbours' ids and values, best first."""
+    """State rows of (node, vec): every node with its best neighbours' ids and values, best first.
+
+    Of a vector all entries but the last have one scale; the last may be of another size.
+    """
     n = nodes.count()
     blocks, wide = -(-n // BLOCK) or 1, -(-n // START) or 1
     homed = nodes.mapInPandas(lambda batches: (rows.assign(home=_homes(rows["node"].to_numpy(), blocks)) for rows in batches), "node long, vec binary, home int")
@@ -228,17 +338,13 @@ def neighbour_graph(nodes: DataFrame, *, degree: int = DEGREE, sample: int = SAM
         changed = state.agg(F.sum("n_new")).first()[0] or 0
         if wide == 1 and turn == 1 or changed <= settled * n * degree * (turn > 0):
             return state
-        forward = state.select("node", "ids", "new").mapInPandas(_forward(turn, sample), "v long, member long, fresh boolean")
-        draw = Window.partitionBy("v", "fresh").orderBy(F.xxhash64("member", "v", F.lit(turn)), "member")
-        forward = materialize(forward, "listed")
-        named = forward.select(F.col("member").alias("v"), F.col("v").alias("member"), "fresh")
-        named = named.withColumn("nth", F.row_number().over(draw)).filter(F.col("nth") <= sample).drop("nth")
-        lists = materialize(forward.unionByName(named).withColumn("block", _block("v", blocks, 1)), "lists")
-        asked = lists.select(F.col("block").alias("for_block"), F.col("member").alias("name")).distinct()
-        vectors = asked.join(state.select(F.col("node").alias("name"), "vec", "worst"), "name")
-        finds = lists.groupBy("block").cogroup(vectors.groupBy("for_block")).applyInPandas(_compare(degree, blocks), FOUND)
+        named = state.select("node", "ids", "new").mapInPandas(_naming(turn, sample, blocks), NAMED)
+        made = state.select("home", "node", "ids", "new").groupBy("home").cogroup(named.groupBy("home")).applyInPandas(_listing(turn, sample, blocks), LISTS)
+        made = materialize(made, "lists")
+        lists, vectors = _asked_vectors(made, state)
+        finds = lists.groupBy("home").cogroup(vectors.groupBy("block")).applyInPandas(_compare(degree, blocks), FOUND)
         after = _merged(state, [finds], turn, degree, sample, "graph")
-        for done in (state, forward, lists):
+        for done in (state, made):
             release(done)
         state, turn = after, turn + 1
 
@@ -250,80 +356,131 @@ def _merged(state: DataFrame, finds: list[DataFrame], turn: int, degree: int, sa
     return materialize(rows.groupBy("home").applyInPandas(_merge(turn, degree, sample), STATE), name)
 
 
-def _links(state: DataFrame, degree: int, dims: int) -> DataFrame:
-    """(node, links, scales, codes): a node's neighbours, and of the nodes that name it the ``degree`` nearest, each with its first ``dims`` entries in 16 bits.
+def _links(state: DataFrame, degree: int, blocks: int, name: str) -> DataFrame:
+    """(home, node, links, scales, codes): a node's neighbours, and of the nodes that name it the ``degree`` nearest, each with all its entries but the last in 16 bits.
 
-    A search so asks for the nodes that it follows only, not for all that it meets.
+    It is a table ``name`` of the catalog, bucketed by home, so grouping by home reads its files as they are.
     """
 
-    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                times = rows["ids"].str.len().to_numpy() // 8
-                yield pd.DataFrame({"node": _joined(rows["ids"], "<i8"), "by": np.repeat(rows["node"].to_numpy(), times), "val": _joined(rows["vals"], "<f4")})
+    def nearest(v: np.ndarray, member: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _first((v,), (member, -val), (v, member, val), degree)
 
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def naming(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            if len(rows):
-                x = _joined(rows["vec"], "<f4").reshape(len(rows), -1)[:, :dims]
-                most = np.abs(x).max(axis=1, keepdims=True)
-                scale = np.where(most > 0, most, 1).astype("<f4") / np.float32(32_767)
-                codes = np.rint(x / scale).astype("<i2")
-                yield pd.DataFrame({"by": rows["node"], "scale": scale[:, 0], "code": [c.tobytes() for c in codes]})
-
-    forward = materialize(state.select("node", "ids", "vals").mapInPandas(named, "node long, by long, val float"), "named")
-    nearest = Window.partitionBy("node").orderBy(F.col("val").desc(), "by")
-    back = forward.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= degree).select("node", "by")
-    both = back.unionByName(forward.select(F.col("by").alias("node"), F.col("node").alias("by"))).distinct()
-    codes = state.select("node", "vec").mapInPandas(coded, "by long, scale float, code binary")
-    near = both.join(codes, "by").groupBy("node").agg(F.collect_list(F.struct("by", "scale", "code")).alias("near"))  # 2 * degree at most
+            by = np.repeat(rows["node"].to_numpy("<i8"), rows["ids"].str.len().to_numpy("<i8") // 8)
+            yield _sent_home(*nearest(_joined(rows["ids"], "<i8"), by, _joined(rows["vals"], "<f4")), blocks)
+
+    def listing(key: tuple, own: pd.DataFrame, named: pd.DataFrame) -> pd.DataFrame:
+        v, member, _ = nearest(_joined(named["v"], "<i8"), _joined(named["member"], "<i8"), _joined(named["mark"], "<f4"))
+        by = np.repeat(own["node"].to_numpy("<i8"), own["ids"].str.len().to_numpy("<i8") // 8)
+        both = np.unique(np.c_[np.r_[by, v], np.r_[_joined(own["ids"], "<i8"), member]], axis=0)
+        return _with_asks(int(key[0]), both[:, 0], both[:, 1], np.zeros(0, bool), blocks)
+
+    def packed(key: tuple, lists: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        names = _joined(vectors["names"], "<i8")
+        if not len(names):
+            return pd.DataFrame(columns=_names(LINKS))
+        order = np.argsort(names)
+        codes = _joined(vectors["codes"], "<i2").reshape(len(names), -1)
+        v, member = _joined(lists["v"], "<i8"), _joined(lists["member"], "<i8")
+        at = order[np.searchsorted(names[order], member)]
+        scales = _joined(vectors["scales"], "<f4")
+        cells = [(int(key[0]), v[a], member[a:b].tobytes(), scales[at[a:b]].tobytes(), codes[at[a:b]].tobytes()) for a, b in zip(*_runs(v))]
+        return pd.DataFrame(cells, columns=_names(LINKS))
+
+    named = state.select("node", "ids", "vals").mapInPandas(naming, NAMED)
+    made = state.select("home", "node", "ids").groupBy("home").cogroup(named.groupBy("home")).applyInPandas(listing, LISTS)
+    made = materialize(made, "lists")
+    lists, vectors = _asked_vectors(made, state)
+    links = lists.groupBy("home").cogroup(vectors.groupBy("block")).applyInPandas(packed, LINKS)
+    spark = state.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // PER_TASK))
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}"
+    links.repartition(tasks, "home").write.bucketBy(tasks, "home").format("parquet").option("path", path).saveAsTable(name)
+    release(made)
+    return spark.table(name)
+
+
+def _requests(blocks: int, beam: int, parts: dict[int, int]):
+    """Searches to one row for each block (and part of a much asked one) that has nodes they follow: the queries, and who follows what."""
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            cells = [(np.array(i, "<i8").tobytes(), np.array(s, "<f4").tobytes(), b"".join(c)) for i, s, c in zip(rows["ids"], rows["scales"], rows["codes"])]
-            yield pd.DataFrame([(n, *c) for n, c in zip(rows["node"], cells)], columns=["node", "links", "scales", "codes"])
+            if not len(rows):
+                continue
+            which = np.repeat(np.arange(len(rows)), rows["wanted"].str.len().to_numpy("<i8") // 8)
+            node = _joined(rows["wanted"], "<i8")
+            query, block = rows["query"].to_numpy("<i8"), rows["block"].to_numpy("<i4")
+            vecs = _joined(rows["vec"], "<f4").reshape(len(rows), -1)
+            worst = np.array([np.frombuffer(v, "<f4")[-1] if len(v) >= 4 * beam else -np.inf for v in rows["vals"]], "<f4")
+            home = _homes(node, blocks)
+            part = query[which] % np.array([parts.get(h, 1) for h in home.tolist()], "<i8")
+            order = np.lexsort((which, part, home))
+            which, node, home, part = which[order], node[order], home[order], part[order]
+            begin = np.flatnonzero(np.r_[True, (home[1:] != home[:-1]) | (part[1:] != part[:-1])][: len(home)])
+            cells = []
+            for a, b in zip(begin, np.r_[begin[1:], len(home)]):
+                own, at = np.unique(which[a:b], return_inverse=True)
+                cells.append((home[a], part[a], *(x[own].tobytes() for x in (query, block, vecs, worst)), at.astype("<i4").tobytes(), node[a:b].tobytes()))
+            yield pd.DataFrame(cells, columns=_names(ASKED))
+
+    return run
 
-    lists = near.select("node", F.col("near.by").alias("ids"), F.col("near.scale").alias("scales"), F.col("near.code").alias("codes"))
-    made = materialize(lists.mapInPandas(packed, "node long, links binary, scales binary, codes binary"), "links")
-    release(forward)
-    return made
+
+def _answer_queries(asked: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """What queries follow in a block, and its links, to the links that their beams have room for, by block of queries."""
+    at = {n: i for i, n in enumerate(links["node"].tolist())}
+    ids, scales, codes = (links[c].to_numpy() for c in ("links", "scales", "codes"))
+    block, query, count, found, val = [], [], [], [np.zeros(0, "<i8")], [np.zeros(0, "<f4")]
+    for row in asked.itertuples(index=False):
+        queries, blocks, worst = np.frombuffer(row.queries, "<i8"), np.frombuffer(row.blocks, "<i4"), np.frombuffer(row.worst, "<f4")
+        vecs = np.frombuffer(row.vecs, "<f4").reshape(len(queries), -1)
+        for q, n in zip(np.frombuffer(row.which, "<i4").tolist(), np.frombuffer(row.nodes, "<i8").tolist()):
+            if n not in at:
+                continue
+            i = at[n]
+            value = np.frombuffer(codes[i], "<i2").reshape(-1, vecs.shape[1]).astype("<f4") @ vecs[q] * np.frombuffer(scales[i], "<f4")
+            room = value >= worst[q]
+            found.append(np.frombuffer(ids[i], "<i8")[room])
+            val.append(value[room])
+            block.append(blocks[q])
+            query.append(queries[q])
+            count.append(len(found[-1]))
+    return _rows(np.array(block, "<i4"), np.array(query, "<i8"), np.array(count, "<i4"), np.concatenate(found), np.concatenate(val).astype("<f4"))
 
 
 def _step(beam: int, followed: int):
-    """One block of queries with the nodes it asked for: score their links, then name the nodes to follow next.
+    """One block of queries with the links that were met: keep the best, then name the nodes to follow next.
 
     A node that left the beam can't come back, since the beam's worst value only rises.
     """
 
-    def run(queries: pd.DataFrame, fetched: pd.DataFrame) -> pd.DataFrame:
-        at = {n: i for i, n in enumerate(fetched["node"].tolist())}
-        links, scales, codes = (fetched[c].to_numpy() for c in ("links", "scales", "codes"))
+    def run(queries: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        asker = np.repeat(_joined(answers["nodes"], "<i8"), _joined(answers["counts"], "<i4"))
+        order = np.argsort(asker, kind="stable")
+        asker, answer, value = asker[order], _joined(answers["ids"], "<i8")[order], _joined(answers["vals"], "<f4")[order]
         out = []
         for row in queries.itertuples(index=False):
-            query = np.frombuffer(row.vec, "<f4")
             ids, vals, done = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.vals, "<f4"), np.frombuffer(row.followed, np.uint8) > 0
-            here = [at[n] for n in np.frombuffer(row.wanted, "<i8").tolist() if n in at]
-            if here:
-                met, first = np.unique(_joined(links[here], "<i8"), return_index=True)
-                new = ~np.isin(met, ids)
-                met, first = met[new], first[new]
-                value = _joined(codes[here], "<i2").reshape(-1, len(query))[first].astype("<f4") @ query * _joined(scales[here], "<f4")[first]
-                ids, vals, done = np.r_[ids, met], np.r_[vals, value.astype("<f4")], np.r_[done, np.zeros(len(met), bool)]
-                best = np.lexsort((ids, -vals))[:beam]
-                ids, vals, done = ids[best], vals[best], done[best]
+            a, b = np.searchsorted(asker, row.query), np.searchsorted(asker, row.query, "right")
+            met, first = np.unique(answer[a:b], return_index=True)
+            new = ~np.isin(met, ids)
+            met, first = met[new], first[new]
+            ids, vals, done = np.r_[ids, met], np.r_[vals, value[a:b][first]], np.r_[done, np.zeros(len(met), bool)]
+            best = np.lexsort((ids, -vals))[:beam]
+            ids, vals, done = ids[best], vals[best], done[best]
             open_ = np.flatnonzero(~done)[:followed]
-            done = done.copy()
             done[open_] = True
             out.append((row.query, row.vec, ids.tobytes(), vals.tobytes(), done.astype(np.uint8).tobytes(), ids[open_].tobytes(), len(open_)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SEARCH.split(", ")])
+        return pd.DataFrame(out, columns=_names(SEARCH))
 
     return run
 
 
-def graph_search(links: DataFrame, queries: DataFrame, *, beam: int = BEAM, followed: int = FOLLOWED) -> DataFrame:
+def graph_search(links: DataFrame, queries: DataFrame, *, blocks: int, beam: int = BEAM, followed: int = FOLLOWED) -> DataFrame:
     """(query, node, val): the best nodes that a greedy search from each query's own node meets, its own among them.
 
-    ``queries`` has (query, vec), query being the node. Finished queries leave the rounds.
+    ``queries`` has (query, vec), query being the node; ``blocks`` is the number of home blocks. Finished queries leave the rounds.
     """
     n = queries.count()
     deal = _block("query", -(-n // ASKING) or 1, 2)
@@ -334,10 +491,10 @@ def graph_search(links: DataFrame, queries: DataFrame, *, beam: int = BEAM, foll
             vecs = [np.frombuffer(v, "<f4") for v in rows["vec"]]
             yield rows.assign(ids=own, vals=[np.array([v @ v], "<f4").tobytes() for v in vecs], followed=b"\x01", wanted=own, n_open=1)
 
-    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def per_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for block, part in rows.groupby("block")["wanted"]:
-                yield pd.DataFrame({"block": block, "node": np.unique(_joined(part, "<i8"))})
+            home, count = np.unique(_homes(_joined(rows["wanted"], "<i8"), blocks), return_counts=True)
+            yield pd.DataFrame({"home": home, "n": count})
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -350,10 +507,18 @@ def graph_search(links: DataFrame, queries: DataFrame, *, beam: int = BEAM, foll
     while True:
         left = state.filter("n_open > 0").withColumn("block", deal)
         ended.append(materialize(state.filter("n_open = 0").select("query", "ids", "vals").mapInPandas(best, "query long, node long, val float"), "found"))
-        if left.isEmpty():
+        asked = left.select("wanted").mapInPandas(per_home, "home int, n long").groupBy("home").agg(F.sum("n").alias("n"))
+        much = asked.agg(F.max("n")).first()[0]
+        if not much:
             break
-        needed = left.select("block", "wanted").mapInPandas(asked, "block int, node long").distinct().join(links, "node")
-        after = left.groupBy("block").cogroup(needed.groupBy("block")).applyInPandas(_step(beam, followed), SEARCH)
+        keys, there, parts = ["home"], links, {}
+        if much > ANSWERED:  # the requests to a block meet copies of it
+            parts = {r["home"]: -(-r["n"] // ANSWERED) for r in asked.filter(F.col("n") > ANSWERED).collect()}
+            copies = F.coalesce(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])[F.col("home")], F.lit(1))
+            keys, there = ["home", "part"], links.withColumn("part", F.explode(F.sequence(F.lit(0), copies.cast("int") - 1)))
+        requests = left.mapInPandas(_requests(blocks, beam, parts), ASKED)
+        answers = requests.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(_answer_queries, FOUND)
+        after = left.groupBy("block").cogroup(answers.groupBy("home")).applyInPandas(_step(beam, followed), SEARCH)
         after = materialize(after, "search")
         release(state)
         state = after
@@ -401,12 +566,15 @@ def nearest_neighbours(
 
     nodes = materialize(distinct.select("node", "vector", "asks").mapInPandas(packed, "node long, vec binary, asks boolean"), "nodes")
     state = neighbour_graph(nodes.select("node", "vec"), degree=degree)
-    links = _links(state, degree, dims)
+    blocks, name = -(-nodes.count() // BLOCK) or 1, f"links_{uuid.uuid4().hex}"
+    links = _links(state, degree, blocks, name)
     release(state)
     queries = nodes.filter("asks").select(F.col("node").alias("query"), F.substring("vec", F.lit(1), F.lit(4 * dims)).alias("vec"))
-    found = graph_search(links, queries, beam=beam)
+    found = graph_search(links, queries, blocks=blocks, beam=beam)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("val").desc(), "node"))
     found = materialize(found.withColumn("place", place).filter(F.col("place") <= RESCORED).select("query", "node"), "rescored")
+    release(links)
+    spark.sql(f"DROP TABLE {name}")
 
     # Exact scores of the found nodes, then their ids: of a node the k + 1 smallest are enough.
     side = lambda name: distinct.select(F.col("node").alias(name), F.col("vector").alias(f"{name}_vector"))
